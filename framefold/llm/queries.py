@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, quality_rules, sharding
+from . import chat, packing, quality_rules, sharding, simhash
 from .storage import table
 
 
+def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op3_adaptive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
@@ -23,8 +29,12 @@ def op5_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.union(chat.sample(spark)))
 
 
+def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash_report(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_adaptive_quality, op4_virtual_slots, op5_relational_chat)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie)}
 
 
 def oracle_sql() -> dict[str, str]:
