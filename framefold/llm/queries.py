@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, packing, quality_rules, sharding, simhash
+from . import chat, decontaminate, packing, quality_rules, sharding, simhash
 from .storage import table
 
 
@@ -33,8 +33,12 @@ def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie)}
+    return {f.__name__: f for f in (op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
