@@ -1,10 +1,10 @@
-"""The corpus pipeline: each stage is written as Parquet and reread as the next stage's documents."""
+"""The corpus pipeline: each stage's rows are written as Parquet and reread as the next stage's documents."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from framefold.llm import quality_rules
+from framefold.llm import decontaminate, packing, quality_rules, simhash, storage, substring_dedup
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -12,14 +12,43 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return quality_rules.adaptive_quality(docs).filter("kept").select(*docs.columns)
 
 
-STAGES = [("quality rules", quality)]
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each SimHash component."""
+    return simhash.one_of_each(docs)
+
+
+def paragraph_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents without their repeated paragraphs; n_chars counts what stays."""
+    rows = substring_dedup.without_repeats(docs).select(*docs.columns)
+    return substring_dedup.recounted(rows)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a benchmark passage."""
+    return decontaminate.clean(docs, storage.table(spark, sf_dir, "benchmark"))
+
+
+def sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of the documents in sequences of at most 2048 tokens, with their ids."""
+    import public_tokenizers
+
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), with_ids=True)
+
+
+STAGES = [
+    ("quality rules", quality),
+    ("SimHash near-dedup", near_dedup),
+    ("substring dedup", paragraph_dedup),
+    ("benchmark decontamination", decontamination),
+    ("packing", sequences),
+]
 
 #: Stages after the first have no form in SQL.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    docs = storage.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = storage.materialise(stage(spark, docs, sf_dir), "stage-" + name.lower().replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, quality_rules, sharding, simhash
+from . import chat, decontaminate, packing, quality_rules, sharding, simhash, substring_dedup
 from .storage import table
 
 
+def op1_paragraph_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.dedup_report(table(spark, sf_dir, "documents"))
+
+
 def op2_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -38,7 +42,7 @@ def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie, op10_spaced_seeds)}
+    return {f.__name__: f for f in (op1_paragraph_minhash, op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie, op10_spaced_seeds)}
 
 
 def oracle_sql() -> dict[str, str]:
