@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, packing, quality_rules, sharding, simhash, substring_dedup
+from . import chat, decontaminate, language_model, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
 from .storage import table
 
 
@@ -33,16 +33,33 @@ def op5_relational_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_report(rows.union(chat.sample(spark)))
 
 
+def op6_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.model_report(table(spark, sf_dir, "documents"))
+
+
+def op7_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_report(table(spark, sf_dir, "documents"))
+
+
 def op8_simhash_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_report(table(spark, sf_dir, "documents"))
 
 
+def op9_factorisation_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality_classifier.classified(docs, quality_classifier.fitted(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_paragraph_minhash, op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op8_simhash_trie, op10_spaced_seeds)}
+    every = (
+        op1_paragraph_minhash, op2_vector_packing, op3_adaptive_quality, op4_virtual_slots, op5_relational_chat, op6_log_bilinear,
+        op7_license_digest, op8_simhash_trie, op9_factorisation_machine, op10_spaced_seeds,
+    )
+    return {f.__name__: f for f in every}
 
 
 def oracle_sql() -> dict[str, str]:
