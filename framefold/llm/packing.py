@@ -24,59 +24,155 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from .text import LOWER, slices, span_hashes
+
 LENGTH, SEGMENTS, END_ID = 2048, 256, 1
 #: Tokens, and examples, of a group.
-GROUP_TOKENS, GROUP_EXAMPLES = 1 << 22, 4096
+GROUP_TOKENS, GROUP_EXAMPLES = 1 << 22, 2048
+#: Bytes of text encoded at once.
+SLICE = 1 << 21
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
-#: Distinct words whose ids a task remembers.
-MEMORY = 1 << 18
+#: Distinct pieces that a worker remembers.
+MEMORY = 1 << 20
+
 
+class Ids:
+    """Ids of texts by way of their pieces, which the pre-tokenizer makes: runs of letters, single digits, runs of other signs.
 
-class WordIds:
-    """Ids of texts, by way of their words: the pre-tokenizer always splits at space, tab and line feed, so each word's ids are its own."""
+    A piece's ids do not depend on its neighbours, so each distinct piece is
+    encoded once in a worker and remembered by its 64-bit hash. Pieces are cut
+    in numpy where a text has ASCII and Latin-1 letters alone; any other text
+    is cut at spaces, where the pre-tokenizer always cuts, and its words are
+    remembered.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.begin, self.count, self.used = np.zeros(MEMORY * 2, np.int64), np.zeros(MEMORY * 2, np.int64), 0
-
-    def learn(self, words: list[str]) -> None:
-        for at in range(0, len(words), 8192):
-            part = words[at : at + 8192]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                ids, k = found.ids, len(self.known)
-                if k >= len(self.begin):
-                    self.begin, self.count = np.resize(self.begin, 2 * k), np.resize(self.count, 2 * k)
-                while self.used + len(ids) > len(self.flat):
-                    self.flat = np.resize(self.flat, 2 * len(self.flat))
-                self.flat[self.used : self.used + len(ids)] = ids
-                self.begin[k], self.count[k], self.known[word] = self.used, len(ids), k
-                self.used += len(ids)
-
-    def encode(self, text: str) -> np.ndarray:
-        """The ids of one text and END_ID."""
+        ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        ends[[k for word, k in self.tokenizer.get_vocab().items() if word.endswith("</w>")]] = True
+        self.is_end = ends
+        self.forget()
+
+    def forget(self) -> None:
+        self.known: dict[int | str, int] = {}
+        self.flat, self.used = np.zeros(1 << 20, "<u4"), 1
+        self.flat[0] = END_ID
+        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
+        self.known[""] = 0  # slot 0 is the end id, and the empty word has none
+        self.count[0] = 1
+        self.slots = 1
+
+    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(keys)
+        while self.slots + n > len(self.begin):
+            self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
+        while self.used + len(ids) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        self.flat[self.used : self.used + len(ids)] = ids
+        self.begin[self.slots : self.slots + n] = self.used + np.cumsum(counts) - counts
+        self.count[self.slots : self.slots + n] = counts
+        self.known.update(zip(keys, range(self.slots, self.slots + n)))
+        self.slots, self.used = self.slots + n, self.used + len(ids)
+
+    def learn_pieces(self, hashes: list[int], pieces: list[str]) -> None:
+        for at in range(0, len(pieces), 512):
+            part = pieces[at : at + 512]
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            counts = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
+            if len(counts) != len(part) or counts.sum() != len(ids):
+                each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+                ids, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
+            self.add(hashes[at : at + 512], ids, counts)
+
+    def learn_words(self, words: list[str]) -> None:
+        for at in range(0, len(words), 512):
+            part = words[at : at + 512]
+            each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
+            self.add(part, np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each]))
+
+    def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        begin, count = self.begin[slots], self.count[slots]
+        ends = np.cumsum(count)
+        return self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - begin, count)], ends
+
+    def of_words(self, text: str) -> np.ndarray:
+        words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
+        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
+        if fresh:
+            self.learn_words(fresh)
+        return self.gathered(np.array([*map(self.known.__getitem__, words), 0], np.int64))[0]
+
+    def of(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+        """The ids, END_ID last, of each text of a slice."""
         if len(self.known) > MEMORY:
-            self.known, self.used = {}, 0
-        words = text.replace("\n", " ").replace("\t", " ").split(" ")
-        known = self.known
-        fresh = [w for w in set(words) if w not in known]
+            self.forget()
+        n = len(offsets) - 1
+        original = data
+        data, kind, odd = classes(data)
+        upto = np.concatenate([[0], np.cumsum(odd)])[offsets]
+        plain = upto[1:] == upto[:-1]
+        new = np.ones(len(data), bool)
+        new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == DIGIT)
+        inner = offsets[1:-1]
+        new[inner[inner < len(data)]] = True
+        starts = np.flatnonzero(new)
+        ends = np.append(starts[1:], len(data)) if len(starts) else starts
+        text = np.searchsorted(offsets, starts, "right") - 1
+        use = (kind[starts] != SPACE) & plain[text]
+        starts, ends, text = starts[use], ends[use], text[use]
+        distinct, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
+        keys = distinct.tolist()
+        slots = [self.known.get(h, -1) for h in keys]
+        fresh = [k for k, x in enumerate(slots) if x < 0]
         if fresh:
-            self.learn(fresh)
-        at = np.fromiter(map(known.__getitem__, words), np.int64, len(words))
-        begin, count = self.begin[at], self.count[at]
-        total = int(count.sum())
-        out = np.empty(total + 1, "<u4")
-        place = np.arange(total) - np.repeat(np.cumsum(count) - count, count) + np.repeat(begin, count)
-        out[:total] = self.flat[place]
-        out[total] = END_ID
-        return out
+            raw = data.tobytes()
+            self.learn_pieces([keys[k] for k in fresh], [raw[starts[first[k]] : ends[first[k]]].decode() for k in fresh])
+            slots = [self.known[h] for h in keys]
+        # Each text's pieces, then the slot of END_ID.
+        per = np.bincount(text, minlength=n)
+        last = np.cumsum(per) + np.arange(n)
+        order = np.zeros(len(text) + n, np.int64)
+        is_piece = np.ones(len(order), bool)
+        is_piece[last] = False
+        order[is_piece] = np.array(slots, np.int64)[which] if len(which) else 0
+        ids, ends_at = self.gathered(order)
+        bounds = np.concatenate([[0], ends_at[last]])
+        return [ids[bounds[k] : bounds[k + 1]] if plain[k] else self.of_words(original[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in range(n)]
+
+
+SPACE, LETTER, DIGIT, SIGN, ODD_BYTE = range(5)
+KIND = np.full(256, ODD_BYTE, np.uint8)
+KIND[33:127], KIND[48:58], KIND[65:91], KIND[97:123], KIND[[9, 10, 13, 32]] = SIGN, DIGIT, LETTER, LETTER, SPACE
+KIND[39] = ODD_BYTE  # an apostrophe may begin a piece with letters in it
+
+
+def classes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes in lower case, the kind of each, and which ones numpy does not cut by."""
+    kind, low = KIND[data], LOWER[data]
+    lead = np.flatnonzero(data[:-1] == 0xC3)
+    after = data[lead + 1]
+    letter = (after != 0x97) & (after != 0xB7)  # not the signs for times and divided by
+    lead, after = lead[letter], after[letter]
+    kind[lead] = kind[lead + 1] = LETTER
+    low[lead + 1] = np.where(after <= 0x9E, after + 32, after)
+    odd = kind == ODD_BYTE
+    odd[:-1] |= (data[:-1] == 60) & (data[1:] == 124)  # may begin a special token
+    return low, kind, odd
+
+
+_IDS: dict[str, Ids] = {}
+
+
+def ids_at(path: str) -> Ids:
+    """This worker's Ids, kept from task to task."""
+    if path not in _IDS:
+        _IDS[path] = Ids(path)
+    return _IDS[path]
 
 
 def place(sizes: np.ndarray, limits: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
@@ -163,7 +259,7 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
     """One row of SCHEMA for each piece; with_ids adds its ids."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, part, made = WordIds(tokenizer_path), TaskContext.get().partitionId(), 0
+        encoder, part, made = ids_at(tokenizer_path), TaskContext.get().partitionId(), 0
         group: list[tuple[int | None, np.ndarray]] = []
         held = 0
 
@@ -184,14 +280,14 @@ def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: i
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
 
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
-            for i in range(len(batch)):
-                encoded = words.encode(batch.column("text")[i].as_py() or "")
-                group.append((ids[i].as_py(), encoded))
-                held += len(encoded)
-                if held >= GROUP_TOKENS or len(group) >= GROUP_EXAMPLES:
-                    yield flush()
-                    group, held = [], 0
+            doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
+            for at, to, data, offsets in slices(batch.column("text"), SLICE):
+                for doc_id, encoded in zip(doc_ids[at:to], encoder.of(data, offsets)):
+                    group.append((doc_id, encoded))
+                    held += len(encoded)
+                    if held >= GROUP_TOKENS or len(group) >= GROUP_EXAMPLES:
+                        yield flush()
+                        group, held = [], 0
         if group:
             yield flush()
 
