@@ -5,9 +5,9 @@ neighbouring words; the words at its marked places are hashed and the others
 ignored, so a substituted word under an ignored place does not hide a match.
 Every place of every text is hashed under every mask and joined with the
 hashes of the benchmark. Around each hit the two are compared word by word on
-that alignment, and the best stretch counts: SCORE for an equal word, -COST
-for a different one. A text is contaminated if a stretch of at least LEAST
-words (or the whole item, if that is shorter) is equal in SIMILAR of its places.
+that alignment. A text is contaminated if a stretch of at least LEAST words
+(or as many as the item has, if that is fewer) begins and ends equal and is
+equal in SIMILAR of its places; the longest such stretch is reported.
 Items shorter than the shortest mask are looked for whole.
 
 The benchmark is read in blocks of at most BLOCK hashes, a bound on what is
@@ -31,12 +31,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .storage import free_name
 from .text import ODD, mix, slices, words_of
 
-#: 1: compared, 0: ignored. Any 2 substitutions within 13 words leave a hit of one of them.
+#: 1: compared, 0: ignored. Whichever 2 of 13 words, or 3 of 16, are substituted, one of them still hits.
 MASKS = ["11111", "1101011", "11001101", "1010011001"]
 LEAST, SIMILAR = 13, 0.8
-SCORE, COST = 1, 4
 BLOCK = 1 << 20
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
@@ -118,13 +118,21 @@ def index(items: list[tuple[int | None, np.ndarray]]) -> Index:
     return Index(ids, np.concatenate([w for _, w in items]), first, hashes[order], at[order])
 
 
-def best_stretch(equal: np.ndarray) -> tuple[int, int, int]:
-    """Start, end and equal places of the stretch with the largest score."""
-    gain = np.concatenate([[0], np.cumsum(np.where(equal, SCORE, -COST))])
-    low = np.minimum.accumulate(gain)
-    end = int(np.argmax(gain - low))
-    start = int(np.flatnonzero(gain[: end + 1] == low[end])[-1])
-    return start, end, int(equal[start:end].sum())
+def best_stretch(equal: np.ndarray, least: int) -> tuple[int, int] | None:
+    """The longest stretch of least places or more that begins and ends equal and is equal in SIMILAR of its places."""
+    # A stretch is similar enough if the sum over it of (1 - SIMILAR) and -SIMILAR is not below 0; in whole hundredths.
+    need = round(100 * SIMILAR)
+    gain = np.concatenate([[0], np.cumsum(np.where(equal, 100 - need, -need))])
+    starts = np.flatnonzero(equal)
+    if not len(starts):
+        return None
+    ends = starts + 1
+    low = np.minimum.accumulate(gain[starts])
+    # The first start whose gain is no higher than the gain at each end.
+    first = starts[np.minimum(np.searchsorted(-low, -gain[ends]), len(starts) - 1)]
+    size = np.where((ends > first) & (gain[first] <= gain[ends]), ends - first, 0)
+    k = int(np.argmax(size))
+    return (int(first[k]), int(ends[k])) if size[k] >= least else None
 
 
 def matches(words: np.ndarray, first: np.ndarray, bench: Index, masks: list[str], filter_: np.ndarray, item_of: np.ndarray) -> Iterator[tuple[int, int, int, int, int, int]]:
@@ -151,10 +159,10 @@ def matches(words: np.ndarray, first: np.ndarray, bench: Index, masks: list[str]
                 start = max(b0, int(first[t]) - shift)
                 end = min(b1, int(first[t + 1]) - shift, n_words - shift)
                 equal = bench.words[start:end] == words[start + shift : end + shift]
-                s, e, same = best_stretch(equal)
-                least = min(LEAST, b1 - b0)
-                if e - s >= least and same >= SIMILAR * (e - s):
-                    yield t, item, start + s + shift - int(first[t]), e - s, start + s - b0, same
+                found = best_stretch(equal, min(LEAST, b1 - b0))
+                if found:
+                    s, e = found
+                    yield t, item, start + s + shift - int(first[t]), e - s, start + s - b0, int(equal[s:e].sum())
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
@@ -210,7 +218,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap; one pass for each block, no shuffle."""
-    columns, name = docs.columns, "__overlaps"
+    columns, name = docs.columns, free_name(docs.columns, "__overlaps")
     for block in blocks(benchmark):
         docs = with_overlaps(docs, block, name, columns).filter(F.size(name) == 0).select(*columns)
     return docs

@@ -77,8 +77,6 @@ def repeated_words(words: Column) -> Column:
 
 def measured(docs: DataFrame) -> DataFrame:
     """docs with the columns of MEASURES; one pass over the text, no shuffle."""
-    names = {m.lower() for m in MEASURES}
-    docs = docs.drop(*[c for c in docs.columns if c.lower() in names])
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.withColumn("__words", F.array_remove(F.split(text, SPACE), "")).withColumn("__lines", lines)
@@ -155,12 +153,11 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
     return rows.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True))).drop(*limits.columns)
 
 
-def adaptive_quality(docs: DataFrame) -> DataFrame:
-    """docs with MEASURES and kept. Without a text column to carry, measures are written once and reread."""
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == "kept"])
-    rows = measured(docs)
-    limits = materialise(fences(sketches(rows)), "fences")
-    return judged(rows, limits)
+def kept_documents(docs: DataFrame) -> DataFrame:
+    """The rows of docs that the rules keep, unchanged. Texts are measured twice, once for the fences, rather than written in between."""
+    whole = docs.select(F.struct(*docs.columns).alias("document"), "lang", "source", "text")
+    limits = materialise(fences(sketches(measured(whole.select("lang", "source", "text")))), "fences")
+    return judged(measured(whole), limits).filter("kept").select("document.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:

@@ -76,10 +76,20 @@ class Words:
 
 
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    up, down = POWERS.upto(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(BYTE_VALUE[data] * up[: len(data)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts])
+    """A 64-bit hash of each span of bytes; spans are in order. Long texts are taken in blocks, to bound memory."""
+    out = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):
+        to = max(at + 1, int(np.searchsorted(ends, starts[at] + 4 * SLICE_BYTES, "right")))
+        low = starts[at]
+        block = data[low : ends[to - 1]]
+        up, down = POWERS.upto(len(block) + 1)
+        sums = np.zeros(len(block) + 1, np.uint64)
+        np.cumsum(BYTE_VALUE[block] * up[: len(block)], out=sums[1:])
+        a, b = starts[at:to] - low, ends[at:to] - low
+        out[at:to] = mix((sums[b] - sums[a]) * down[a])
+        at = to
+    return out
 
 
 def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
