@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, decontaminate, language_model, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from . import chat, decontaminate, language_model, licenses, packing, quality_classifier, quality_rules, sharding, simhash, sql, substring_dedup
 from .storage import table
 
 
@@ -63,4 +63,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """The queries that SQL can express; the others are tested against plain Python."""
+    return sql.oracle_sql()
