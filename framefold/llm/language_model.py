@@ -15,8 +15,8 @@ are what training needs, so NCE takes the expectation over noise exactly
 instead of drawing it. One batched matrix product then gives all normalised
 log-probabilities, a table of bounded size that scoring looks up.
 
-Counts of the DICTIONARY most frequent words travel with that table; rarer
-words are joined with the table of counts by hash.
+Counts of the most frequent words, DICTIONARY at most, travel with that table;
+rarer words are joined with the table of counts by hash.
 
 Defined cases: null text is empty and has the end token alone; a null id
 counts as the empty text for the split; equal rows are each scored and each
@@ -130,7 +130,12 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     totals = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    top = counts.orderBy(F.desc("n"), "h").limit(DICTIONARY).toArrow()  # DICTIONARY rows at most
+    # How many words have about how many tokens: a few ten thousand rows at most, and no sort of all words.
+    width = "greatest(length(bin(n)) - 10, 0)"
+    many = sorted(counts.groupBy(F.expr(f"shiftleft(shiftright(n, {width}), {width})").alias("least")).count().collect(), reverse=True)
+    fit = np.cumsum([r["count"] for r in many]) <= DICTIONARY
+    least = many[int(fit.sum()) - 1]["least"] if len(many) and fit[0] else None
+    top = counts.filter(F.col("n") >= F.lit(least).cast("long")).toArrow().sort_by([("n", "descending"), ("h", "ascending")])  # DICTIONARY rows at most
     by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # 65,536 rows at most
     h, n, ending = (top.column(c).to_numpy() for c in ("h", "n", "ending"))
     tokens, types = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
