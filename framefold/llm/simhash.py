@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import materialise
+from .storage import free_name, materialise, row_hash
 from .text import Words, slices, words_of
 
 SHINGLE, SEED, ERRORS = 4, 42, 4
@@ -72,7 +72,10 @@ def fingerprints_of(words: Words) -> np.ndarray:
         return out
     raw, digest = plain.tobytes(), xxhash.xxh64_intdigest
     # Texts bounded by one byte run on into the next; no shingle spans two texts.
-    hashes = np.fromiter((digest(raw[a:b], SEED) for a, b in zip(starts.tolist(), ends.tolist())), np.uint64, len(starts))
+    hashes = np.empty(len(starts), np.uint64)
+    for at in range(0, len(starts), 1 << 18):
+        a, b = starts[at : at + (1 << 18)].tolist(), ends[at : at + (1 << 18)].tolist()
+        hashes[at : at + len(a)] = np.fromiter((digest(raw[i:j], SEED) for i, j in zip(a, b)), np.uint64, len(a))
     bounds = np.searchsorted(owner, np.arange(len(out) + 1))
     weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
     view = hashes.astype("<u8").view(np.uint8).reshape(-1, 8)
@@ -226,10 +229,10 @@ def links(rows: DataFrame) -> DataFrame:
                     if (a, x) != (b, y):
                         per[b].append((groups, 1, y))
                     groups += 1
-        used = {int(k) for k in histogram}
-        # 65,536 prefixes and the groups of each at most, whatever the input.
-        plan = spark.createDataFrame(pd.DataFrame([(k, g, side, chunk, int(chunks[node_of[k]])) for k in used for g, side, chunk in per[int(node_of[k])]], columns=["k", "g", "side", "chunk", "chunks"]), "k int, g int, side int, chunk int, chunks int")
-        dealt = distinct.withColumn("k", key).join(F.broadcast(plan), "k").filter(F.pmod(F.xxhash64("fp"), F.col("chunks")) == F.col("chunk"))
+        # Both are of bounded size: 65,536 prefixes, and for each of some hundred nodes the groups it is in.
+        nodes = spark.createDataFrame(pd.DataFrame([(int(k), int(node_of[k])) for k in histogram], columns=["k", "node"]), "k int, node int")
+        plan = spark.createDataFrame(pd.DataFrame([(node, g, side, chunk, int(chunks[node])) for node in per for g, side, chunk in per[node]], columns=["node", "g", "side", "chunk", "chunks"]), "node int, g int, side int, chunk int, chunks int")
+        dealt = distinct.withColumn("k", key).join(F.broadcast(nodes), "k").join(F.broadcast(plan), "node").filter(F.pmod(F.xxhash64("fp"), F.col("chunks")) == F.col("chunk"))
         found.append(dealt.select("g", "side", "fp").groupBy("g").applyInArrow(joiner(turn, half), "u long, v long"))
     if not found:
         return rows.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
@@ -272,11 +275,12 @@ def simhash_report(docs: DataFrame) -> DataFrame:
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """docs with one row of each component: that with the least doc_id (nulls last), then the least hash of the row."""
-    row = F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes])
-    rows = materialise(fingerprints(docs.withColumn("__row", row), ["doc_id", "__row"]), "simhash")
+    name = free_name(docs.columns, "__row")
+    marked = docs.withColumn(name, row_hash(docs))
+    rows = materialise(fingerprints(marked.select("doc_id", "text", F.col(name).alias("__row")), ["doc_id", "__row"]), "simhash")
     # Per fingerprint first: a partial minimum, whatever the size of a group of copies.
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "__row")).alias("best")
     least = clustered(rows.groupBy("fp").agg(best))
-    keep = materialise(least.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias("__row")), "survivors")
-    # __row is one row of docs, or rows equal in every column, of which one stays.
-    return docs.withColumn("__row", row).join(keep, "__row", "left_semi").dropDuplicates(["__row"]).drop("__row")
+    keep = materialise(least.groupBy("root").agg(F.min("best").alias("best")).select(F.col("best.__row").alias(name)), "survivors")
+    # A name stands for one row of docs, or for rows equal in every column, of which one stays.
+    return marked.join(keep, name, "left_semi").dropDuplicates([name]).select(*docs.columns)
