@@ -9,7 +9,7 @@ from framefold.llm import decontaminate, packing, quality_rules, simhash, storag
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the adaptive quality rules keep."""
-    return quality_rules.adaptive_quality(docs).filter("kept").select(*docs.columns)
+    return quality_rules.kept_documents(docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -19,8 +19,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def paragraph_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without their repeated paragraphs; n_chars counts what stays."""
-    rows = substring_dedup.without_repeats(docs).select(*docs.columns)
-    return substring_dedup.recounted(rows)
+    return substring_dedup.deduplicated(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

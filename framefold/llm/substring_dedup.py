@@ -10,9 +10,13 @@ compared by the exact Jaccard similarity of their shingles, and linked from
 
 Within a bucket each paragraph is compared with the bucket's representative,
 another one in each band. What is linked then needs no more comparisons among
-itself; only paragraphs of one bucket that are still in different components
-are compared pair by pair, so that no link between different paragraphs is
-lost and groups of copies cost no more than their rows.
+itself. Paragraphs of one bucket that are still in different components, such
+as those with a common passage in otherwise different lines, meet once more in
+FINE_BANDS bands of FINE_ROWS values, which few but similar ones share: again
+with representatives first, and what is then still apart pair by pair, if
+sketches of their MinHash values are alike. So
+groups of copies cost no more than their rows; of the pairs with a similarity of
+0.8, the finer bands miss one in a thousand.
 
 Defined cases: null texts have no paragraphs and stay null; lines below
 LEAST_WORDS words are never cut; rows that are equal in all columns are cut
@@ -31,11 +35,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, materialise
+from .storage import discard, free_name, materialise, row_hash
 from .text import ODD, Words, gram_hashes, mix, slices, words_of
 
 LEAST_WORDS, SHINGLE, SIMILAR = 25, 5, 0.8
 BANDS, ROWS = 12, 4
+#: The finer bands: similarity 0.8 meets with a probability of 0.999, 0.6 with 0.2, 0.5 with 0.02.
+FINE_BANDS, FINE_ROWS = 100, 12
+#: One bit of each of so many MinHash values, and how many may differ: (1 - 0.8) / 2 of them would, give or take 10.
+SKETCH_BITS, SKETCH_MOST = 1152, 147
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
@@ -70,22 +78,21 @@ def shingles(words: Words, hashes: np.ndarray, lines: np.ndarray) -> tuple[np.nd
     return grams[at], bounds
 
 
-def band_hashes(grams: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """BANDS longs for each line; the band's number is part of each."""
-    out = np.zeros((len(bounds) - 1, BANDS), np.uint64)
-    salts = mix(np.arange(1, 2 * BANDS * ROWS + 1, dtype=np.uint64)) | np.uint64(1)
-    for band in range(BANDS):
+def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 0, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """bands longs for each line, the band's number being part of each; and as longs one bit of each of the first bits values."""
+    sketch = np.zeros((len(bounds) - 1, bits // 64), np.uint64)
+    out = np.zeros((len(bounds) - 1, bands), np.uint64)
+    salts = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+    for band in range(bands):
         key = np.full(len(bounds) - 1, band + 1, np.uint64)
-        for row in range(ROWS):
-            k = 2 * (band * ROWS + row)
+        for row in range(rows):
+            k = 2 * (band * rows + row)
             least = np.minimum.reduceat((grams ^ salts[k]) * salts[k + 1], bounds[:-1])
+            if k // 2 < bits:
+                sketch[:, k // 128] |= (mix(least) & np.uint64(1)) << np.uint64(k // 2 % 64)
             key = mix(key * np.uint64(ODD) + least)
         out[:, band] = key
-    return out.view(np.int64)
-
-
-def row_hash(docs: DataFrame) -> Column:
-    return F.xxhash64(*[F.to_json(F.struct(c)) if t.startswith(("map", "variant")) else F.col(c) for c, t in docs.dtypes])
+    return out.view(np.int64), sketch.view(np.int64)
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 if not len(lines):
                     continue
                 hashes = words.hashes()
-                bands = band_hashes(*shingles(words, hashes, lines))
+                bands, _ = band_hashes(*shingles(words, hashes, lines))
                 of = pa.array(at + text[lines])
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(number[lines], pa.int32()), pa.array(names(words, hashes, lines)), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))],
@@ -138,57 +145,122 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return joined.select("text", "wanted").mapInArrow(run, "name long, grams array<long>").dropDuplicates(["name"])
 
 
+def finer(sets: DataFrame) -> DataFrame:
+    """name, bands, sketch, size of sets (name, grams): the finer bands, SKETCH_BITS bits and the number of shingles."""
+
+    def lists(values: np.ndarray) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, len(batch), 512):
+                part = batch.slice(at, 512)
+                grams = part.column("grams")
+                bounds = grams.offsets.to_numpy() - grams.offsets[0].as_py()
+                bands, sketch = band_hashes(grams.flatten().to_numpy().view(np.uint64), bounds, FINE_BANDS, FINE_ROWS, 1, SKETCH_BITS)
+                yield pa.RecordBatch.from_arrays([part.column("name"), lists(bands), lists(sketch), pa.array(np.diff(bounds), pa.int32())], names=["name", "bands", "sketch", "size"])
+
+    return sets.select("name", "grams").mapInArrow(run, "name long, bands array<long>, sketch array<long>, size int")
+
+
+def alike(a: str, b: str) -> Column:
+    """Whether two sketches and sizes leave a similarity of SIMILAR likely; of pairs that have it, one in a thousand fails."""
+    differ = sum((F.bit_count(F.col(f"{a}.sketch")[k].bitwiseXOR(F.col(f"{b}.sketch")[k])) for k in range(SKETCH_BITS // 64)), F.lit(0))
+    sizes = F.least(f"{a}.size", f"{b}.size") >= SIMILAR * F.greatest(f"{a}.size", f"{b}.size")
+    return sizes & (differ <= SKETCH_MOST)
+
+
+def similar(a: Column, b: Column) -> Column:
+    """Whether the exact similarity of two sets of shingles is SIMILAR at least."""
+    both = F.size(F.array_intersect(a, b))
+    return both >= SIMILAR * (F.size(a) + F.size(b) - both)
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (u, v) whose exact similarity is SIMILAR at least."""
+    """The pairs (u, v) that are similar."""
     a = sets.select(F.col("name").alias("u"), F.col("grams").alias("ga"))
     b = sets.select(F.col("name").alias("v"), F.col("grams").alias("gb"))
-    both = F.size(F.array_intersect("ga", "gb"))
-    return pairs.join(a, "u").join(b, "v").filter(both >= SIMILAR * (F.size("ga") + F.size("gb") - both)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").filter(similar(F.col("ga"), F.col("gb"))).select("u", "v")
+
+
+def met_in(rows: DataFrame, name: str) -> DataFrame:
+    """Of rows (name, band): those in buckets of several names, with head, the representative.
+
+    The order of names differs from band to band, and with it the representative.
+    """
+    mark = F.col("name").bitwiseXOR(F.col("band"))
+    buckets = rows.withColumn("mark", mark).groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high")
+    buckets = materialise(buckets.select("band", F.col("low").bitwiseXOR(F.col("band")).alias("head")), f"{name}-buckets")
+    out = materialise(rows.join(buckets, "band").distinct(), name)
+    discard(buckets)
+    return out
+
+
+def star(members: DataFrame) -> DataFrame:
+    """u, v: each member with its bucket's representative."""
+    return members.filter("name != head").select(F.least("name", "head").alias("u"), F.greatest("name", "head").alias("v")).distinct()
+
+
+def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
+    """band, name, root of the members of buckets that hold several components."""
+    placed = materialise(members.select("band", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")), f"{name}-placed")
+    mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band")
+    out = materialise(placed.join(mixed, "band"), name)
+    discard(placed)
+    return out
 
 
 def removals(docs: DataFrame) -> DataFrame:
     """row, line, kept (row, doc_id, line): every occurrence to be cut, and the one that stays. docs has __row."""
     found = materialise(paragraphs(docs), "paragraphs")
-    # Longs whose order differs from band to band, so that each band has its own representative.
-    mark = F.col("name").bitwiseXOR(F.col("band"))
-    met = found.select("name", F.explode("bands").alias("band")).select("name", "band", mark.alias("mark"))
-    buckets = materialise(met.groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high").select("band", F.col("low").bitwiseXOR(F.col("band")).alias("head")), "buckets")
-    members = materialise(met.select("name", "band").join(buckets, "band").distinct(), "members")
-    pair = [F.least("name", "head").alias("u"), F.greatest("name", "head").alias("v")]
-    stars = materialise(members.filter("name != head").select(*pair).distinct(), "stars")
+    members = met_in(found.select("name", F.explode("bands").alias("band")), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first")
     unique = materialise(found.groupBy("name").agg(first), "names")
     wanted = members.select("name").distinct().join(unique, "name").select(F.col("first.row").alias("row"), "name")
     sets = materialise(shingle_sets(docs, wanted), "shingles")
-    links = materialise(verified(stars, sets), "links")
-    roots = connected_components(links)
-    # Buckets whose members are not yet in one component: what is apart is compared pair by pair.
-    placed = members.join(roots.withColumnRenamed("node", "name"), "name", "left").select("band", "name", F.coalesce("root", "name").alias("root"))
-    mixed = materialise(placed.join(placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band"), "band"), "mixed")
-    other = mixed.toDF("band", "name2", "root2")
-    apart = mixed.join(other, "band").filter("root < root2").select(F.least("name", "name2").alias("u"), F.greatest("name", "name2").alias("v")).distinct()
-    more = materialise(verified(apart.join(stars, ["u", "v"], "left_anti"), sets), "links")
-    if not more.isEmpty():
-        roots = connected_components(links.union(more))
+    links = [materialise(verified(star(members), sets), "links")]
+    roots = connected_components(links[0])
+    # What is apart in a bucket meets again in finer bands, first with representatives, then, if still apart, pair by pair.
+    mixed = apart(members, roots, "mixed")
+    again = materialise(mixed.select("name", "root").distinct(), "again")
+    fine = materialise(finer(sets.join(again, "name", "left_semi")), "fine")
+    close = met_in(fine.select("name", F.explode("bands").alias("band")), "close")
+    links.append(materialise(verified(star(close), sets), "links"))
+    roots = connected_components(links[0].union(links[1]))
+    rest = apart(close, roots, "rest")
+    rest = materialise(rest.join(fine.select("name", "sketch", "size"), "name").join(sets, "name"), "rest")
+    a, b = rest.alias("a"), rest.alias("b")
+    # Pairs are verified within the join: only links come out of it.
+    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & alike("a", "b") & similar(F.col("a.grams"), F.col("b.grams")))
+    links.append(materialise(pairs.select(F.least("a.name", "b.name").alias("u"), F.greatest("a.name", "b.name").alias("v")).distinct(), "links"))
+    if not links[2].isEmpty():
+        roots = connected_components(links[0].union(links[1]).union(links[2]))
     roots = materialise(roots.withColumnRenamed("node", "name"), "roots")
     grouped = materialise(unique.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "grouped")
     stays = materialise(grouped.groupBy("root").agg(F.min("first").alias("kept")), "stays")
     kept = materialise(grouped.join(stays, "root").select("name", "kept"), "kept")
     cut = found.select("row", "line", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("line") != F.col("kept.line")))
     out = materialise(cut.select("row", "line", "kept.doc_id", F.col("kept.row").alias("kept_row"), F.col("kept.line").alias("kept_line")), "removals")
-    for old in (found, buckets, members, stars, unique, sets, links, mixed, more, roots, grouped, stays, kept):
+    for old in (found, members, unique, sets, *links, mixed, again, fine, close, rest, roots, grouped, stays, kept):
         discard(old)
     return out
 
 
-def without_repeats(docs: DataFrame) -> DataFrame:
-    """docs with text rid of its repeated paragraphs, and cuts: line, and doc_id and line of what stays."""
-    marked = docs.withColumn("__row", row_hash(docs))
-    cuts = removals(marked).groupBy(F.col("row").alias("__row")).agg(F.array_sort(F.collect_set(F.struct("line", F.col("doc_id").alias("kept_doc_id"), "kept_line"))).alias("cuts"))
-    joined = marked.join(cuts, "__row", "left")
-    gone = F.transform("cuts", lambda c: c["line"])
+def without_repeats(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
+    """docs with text rid of its repeated paragraphs, and in a column named cuts: line, and doc_id and line of what stays."""
+    row = free_name(docs.columns, "__row")
+    marked = docs.withColumn(row, row_hash(docs))
+    found = removals(marked.select("doc_id", "text", F.col(row).alias("__row"))).groupBy(F.col("row").alias(row))
+    found = found.agg(F.array_sort(F.collect_set(F.struct("line", F.col("doc_id").alias("kept_doc_id"), "kept_line"))).alias(cuts))
+    joined = marked.join(found, row, "left")
+    gone = F.transform(cuts, lambda c: c["line"])
     stay = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return joined.withColumn("text", F.when(F.col("cuts").isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).drop("__row")
+    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).drop(row)
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of docs without their repeated paragraphs; n_chars, if it is there, counts what stays."""
+    return recounted(without_repeats(docs, free_name(docs.columns, "cuts")).select(*docs.columns))
 
 
 def recounted(docs: DataFrame) -> DataFrame:
