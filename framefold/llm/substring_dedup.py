@@ -1,7 +1,8 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line of at least LEAST_WORDS words, read in lower case and
-without ASCII punctuation. Equal paragraphs share a 64-bit name. BANDS bands
+A paragraph is a line of at least LEAST_WORDS words, or a run of shorter lines
+that no line without words parts, if it has as many in all; it is read in lower
+case and without ASCII punctuation. Equal paragraphs share a 64-bit name. BANDS bands
 of ROWS MinHash values over shingles of 5 words make paragraphs of similarity
 0.8 meet in some bucket with a probability of 0.998; those that meet are
 compared by the exact Jaccard similarity of their shingles, and linked from
@@ -18,8 +19,7 @@ sketches of their MinHash values are alike. So
 groups of copies cost no more than their rows; of the pairs with a similarity of
 0.8, the finer bands miss one in a thousand.
 
-Defined cases: null texts have no paragraphs and stay null; lines below
-LEAST_WORDS words are never cut; rows that are equal in all columns are cut
+Defined cases: null texts have no paragraphs and stay null; rows that are equal in all columns are cut
 alike; null ids come last and are kept as null; extra columns are kept; an
 empty table gives no rows. A text that loses all its lines becomes empty.
 """
@@ -48,8 +48,8 @@ PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray]:
-    """Words of each line, and each line's text and number in it (as in a split at \\n)."""
+def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
+    """Words of each line or run of short lines, its text, its first line's number in it (as in a split at \\n) and how many lines it has."""
     ends = np.flatnonzero(data == 10)
     starts = np.unique(np.concatenate([offsets[:-1], ends + 1]))
     starts = starts[starts < len(data)] if len(data) else starts[:0]
@@ -57,7 +57,13 @@ def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray,
     number = np.searchsorted(ends, starts) - np.searchsorted(ends, offsets[text])
     ink = ~PUNCTUATION[data]
     upto = np.concatenate([[0], np.cumsum(ink)])
-    return words_of(data[ink], upto[np.append(starts, len(data))], lower=False), text, number
+    words = words_of(data[ink], upto[np.append(starts, len(data))], lower=False)
+    short = (words.counts > 0) & (words.counts < LEAST_WORDS)
+    new = np.ones(len(starts), bool)
+    new[1:] = ~(short[1:] & short[:-1] & (text[1:] == text[:-1]))
+    at = np.append(np.flatnonzero(new), len(starts))
+    words = Words(words.data, words.starts, words.ends, words.first[at], words.offsets[at])
+    return words, text[at[:-1]], number[at[:-1]], np.diff(at)
 
 
 def names(words: Words, hashes: np.ndarray, lines: np.ndarray) -> np.ndarray:
@@ -96,12 +102,12 @@ def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows:
 
 
 def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, line, name, bands of every paragraph; docs has __row."""
+    """row, doc_id, line, lines (how many), name, bands of every paragraph; docs has __row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words, text, number = lines_of(data, offsets)
+                words, text, number, many = lines_of(data, offsets)
                 lines = np.flatnonzero(words.counts >= LEAST_WORDS)
                 if not len(lines):
                     continue
@@ -109,11 +115,11 @@ def paragraphs(docs: DataFrame) -> DataFrame:
                 bands, _ = band_hashes(*shingles(words, hashes, lines))
                 of = pa.array(at + text[lines])
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(number[lines], pa.int32()), pa.array(names(words, hashes, lines)), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))],
-                    names=["row", "doc_id", "line", "name", "bands"],
+                    [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(number[lines], pa.int32()), pa.array(many[lines], pa.int32()), pa.array(names(words, hashes, lines)), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))],
+                    names=["row", "doc_id", "line", "lines", "name", "bands"],
                 )
 
-    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, name long, bands array<long>")
+    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, lines int, name long, bands array<long>")
 
 
 def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -125,7 +131,7 @@ def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
         for batch in batches:
             asked = batch.column("wanted")
             for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words, text, _ = lines_of(data, offsets)
+                words, text, _, _ = lines_of(data, offsets)
                 lines = np.flatnonzero(words.counts >= LEAST_WORDS)
                 hashes = words.hashes()
                 found = names(words, hashes, lines)
@@ -211,7 +217,7 @@ def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """row, line, kept (row, doc_id, line): every occurrence to be cut, and the one that stays. docs has __row."""
+    """row, line, kept (row, doc_id, line): every line of the occurrences to be cut, and the first of the one that stays. docs has __row."""
     found = materialise(paragraphs(docs), "paragraphs")
     members = met_in(found.select("name", F.explode("bands").alias("band")), "members")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first")
@@ -239,8 +245,9 @@ def removals(docs: DataFrame) -> DataFrame:
     grouped = materialise(unique.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "grouped")
     stays = materialise(grouped.groupBy("root").agg(F.min("first").alias("kept")), "stays")
     kept = materialise(grouped.join(stays, "root").select("name", "kept"), "kept")
-    cut = found.select("row", "line", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("line") != F.col("kept.line")))
-    out = materialise(cut.select("row", "line", "kept.doc_id", F.col("kept.row").alias("kept_row"), F.col("kept.line").alias("kept_line")), "removals")
+    cut = found.select("row", "line", "lines", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("line") != F.col("kept.line")))
+    line = F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line")
+    out = materialise(cut.select("row", line, "kept.doc_id", F.col("kept.row").alias("kept_row"), F.col("kept.line").alias("kept_line")), "removals")
     for old in (found, members, unique, sets, *links, mixed, again, fine, close, rest, roots, grouped, stays, kept):
         discard(old)
     return out

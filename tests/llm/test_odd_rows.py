@@ -4,13 +4,14 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
-from fixtures import WORD, documents, empty, lower, texts
+from fixtures import WORD, documents, empty, lower, prose, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -299,3 +300,16 @@ def test_empty_tables(spark):
         made = stage(spark, none, "")
         assert made.count() == 0 and made.columns == none.columns
     assert decontaminate.clean(none, bench).count() == 0
+
+
+def test_substring_dedup_of_wrapped_lines(spark):
+    rng = random.Random(11)
+    words = [f"q{k}" for k in range(70)]
+    wrapped = "\n".join(" ".join(words[k : k + 10]) for k in range(0, 70, 10))
+    changed = "\n".join(" ".join(words[k : k + 14]) for k in range(0, 70, 14)).replace("q69", "changed")
+    rows = [(1, prose(rng, 60, 30) + "\n\n" + wrapped), (2, "Title\n\n" + wrapped + "\n\n" + prose(rng, 60, 30)), (3, changed + "\n\nnotes"), (4, "only\nshort lines\nhere")]
+    got = {r["doc_id"]: r for r in rows_of(substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")))}
+    by_id = dict(rows)
+    assert got[1]["text"] == by_id[1] and got[4]["text"] == by_id[4] and got[1]["n_cut"] == got[4]["n_cut"] == 0
+    assert [(c["line"], c["kept_doc_id"], c["kept_line"]) for c in got[2]["cuts"]] == [(k, 1, 3) for k in range(2, 9)]
+    assert got[2]["text"] == by_id[2].replace(wrapped + "\n", "") and got[3]["text"] == "\nnotes"
