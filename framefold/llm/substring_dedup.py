@@ -19,6 +19,15 @@ sketches of their MinHash values are alike. So
 groups of copies cost no more than their rows; of the pairs with a similarity of
 0.8, the finer bands miss one in a thousand.
 
+Besides, whatever stands in PASSAGE words or more that occur word for word in an
+earlier row is cut, wherever lines break and whether or not it begins or ends
+one. Of SEED-word grams, those that are least among the grams of some PASSAGE
+words are marked, so equal passages have one in common; all windows of PASSAGE
+words around marks that are in several texts are then compared by their 64-bit
+hashes, and each but the first is cut. Texts of the same words
+are taken once; the others of them are cut as a whole. A passage that repeats
+within one row only is cut as a paragraph or not at all.
+
 Defined cases: null texts have no paragraphs and stay null; rows that are equal in all columns are cut
 alike; null ids come last and are kept as null; extra columns are kept; an
 empty table gives no rows. A text that loses all its lines becomes empty.
@@ -36,9 +45,11 @@ from pyspark.sql import functions as F
 
 from .components import connected_components
 from .storage import discard, free_name, materialise, row_hash
-from .text import ODD, Words, gram_hashes, mix, slices, words_of
+from .text import IS_SPACE, ODD, Words, gram_hashes, mix, slices, words_of
 
 LEAST_WORDS, SHINGLE, SIMILAR = 25, 5, 0.8
+#: Words of the shortest passage that is cut wherever it stands, and of the grams by which passages are found.
+PASSAGE, SEED = 50, 25
 BANDS, ROWS = 12, 4
 #: The finer bands: similarity 0.8 meets with a probability of 0.999, 0.6 with 0.2, 0.5 with 0.02.
 FINE_BANDS, FINE_ROWS = 100, 12
@@ -216,6 +227,190 @@ def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def whole_texts(data: np.ndarray, offsets: np.ndarray) -> Words:
+    """Words of each text, without punctuation."""
+    ink = ~PUNCTUATION[data]
+    return words_of(data[ink], np.concatenate([[0], np.cumsum(ink)])[offsets], lower=False)
+
+
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours in values."""
+    if len(values) < n:
+        return values[:0]
+    out, width = values, 1
+    while 2 * width <= n:
+        out, width = np.minimum(out[:-width], out[width:]), 2 * width
+    more = n - width
+    return np.minimum(out[: len(out) - more], out[more:]) if more else out
+
+
+def passages(words: Words) -> np.ndarray:
+    """First words of all PASSAGE words of one text."""
+    text = words.text_of()
+    return np.flatnonzero(text[: max(len(text) - PASSAGE + 1, 0)] == text[PASSAGE - 1 :])
+
+
+def seeds(docs: DataFrame) -> DataFrame:
+    """row, doc_id, name (of all words) and seeds, the marked grams, of every text of PASSAGE words or more; docs has __row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
+                words = whole_texts(data, offsets)
+                texts = np.flatnonzero(words.counts >= PASSAGE)
+                if not len(texts):
+                    continue
+                hashes, first = words.hashes(), passages(words)
+                least = least_of(gram_hashes(hashes, SEED), PASSAGE - SEED + 1)[first]
+                text = words.text_of()[first]
+                new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
+                least, text = least[new], text[new]
+                bounds = np.append(np.searchsorted(text, texts), len(text))
+                of = pa.array(at + texts)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(names(words, hashes, texts)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(least.view(np.int64)))],
+                    names=["row", "doc_id", "name", "seeds"],
+                )
+
+    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, name long, seeds array<long>")
+
+
+def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """window (a hash), first (none, doc_id, row, word) of all PASSAGE words around the seeds of the wanted texts (row, doc_id, seeds)."""
+    joined = docs.select("__row", "text").join(wanted.withColumnRenamed("row", "__row"), "__row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("seeds")
+            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
+                words = whole_texts(data, offsets)
+                hashes, first = words.hashes(), passages(words)
+                if not len(first):
+                    continue
+                grams, whole = gram_hashes(hashes, SEED).view(np.int64), gram_hashes(hashes, PASSAGE).view(np.int64)
+                text = words.text_of()
+                asked = np.zeros(len(grams), bool)
+                for k in range(to - at):
+                    a, b = words.first[k], max(words.first[k], words.first[k + 1] - SEED + 1)
+                    asked[a:b] = np.isin(grams[a:b], lists[at + k].values.to_numpy())
+                upto = np.concatenate([[0], np.cumsum(asked)])
+                first = first[upto[first + PASSAGE - SEED + 1] > upto[first]]
+                of = pa.array(at + text[first])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(whole[first]), batch.column("__row").take(of), batch.column("doc_id").take(of), pa.array((first - words.first[text[first]]).astype(np.int32))],
+                    names=["window", "row", "doc_id", "word"],
+                )
+
+    return joined.select("__row", "doc_id", "text", "seeds").mapInArrow(run, "window long, row long, doc_id long, word int")
+
+
+def stretches(at: Column) -> Column:
+    """Sorted windows, the first of each run of neighbours with its length n."""
+    follows = lambda a, b: (b["word"] == a["word"] + 1) & (b["kept_word"] == a["kept_word"] + 1) & (b["kept_row"] == a["kept_row"])
+
+    def runs(w: Column) -> Column:
+        first = F.filter(w, lambda x, i: (i == 0) | ~follows(w[F.greatest(i - 1, F.lit(0))], x))
+        last = F.filter(w, lambda x, i: (i == F.size(w) - 1) | ~follows(x, w[F.least(i + 1, F.size(w) - 1)]))
+        return F.zip_with(first, last, lambda a, b: F.struct(a["word"].alias("word"), (b["word"] - a["word"] + 1).alias("n"), a["kept_doc_id"].alias("kept_doc_id"), a["kept_row"].alias("kept_row"), a["kept_word"].alias("kept_word")))
+
+    return F.transform(F.array(at), runs)[0]
+
+
+def repeated_passages(docs: DataFrame) -> DataFrame:
+    """row, windows (word, n, kept_doc_id, kept_row, kept_word, for n in a row; of copies one of word -1) of every row with words to be cut. docs has __row."""
+    texts = materialise(seeds(docs), "texts")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
+    unique = materialise(texts.groupBy("name").agg(F.min(place).alias("first"), F.any_value("seeds").alias("seeds")), "unique")
+    marks = materialise(unique.select("name", "first.row", "first.doc_id", F.explode(F.array_distinct("seeds")).alias("seed")), "marks")
+    often = materialise(marks.groupBy("seed").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a != b").select("seed"), "often")
+    wanted = materialise(marks.join(often, "seed").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_set("seed").alias("seeds")), "wanted")
+    found = materialise(windows(docs, wanted), "windows")
+    firsts = found.groupBy("window").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word")).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b"))
+    firsts = materialise(firsts.filter("a != b").select("window", "kept"), "firsts")
+    again = found.join(firsts, "window").filter("row != kept.row").select("row", F.struct("word", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.word").alias("kept_word")).alias("at"))
+    copies = texts.select("name", "row").join(unique.select("name", "first"), "name").filter("row != first.row")
+    copies = copies.select("row", F.struct(F.lit(-1).alias("word"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.row").alias("kept_row"), F.lit(-1).alias("kept_word")).alias("at"))
+    out = materialise(again.union(copies).groupBy("row").agg(stretches(F.array_sort(F.collect_set("at"))).alias("windows")), "passages")
+    for old in (texts, unique, marks, often, wanted, found, firsts):
+        discard(old)
+    return out
+
+
+def rid_of(text: bytes, gone: np.ndarray, window: np.ndarray, kept_id: list, kept_row: np.ndarray, kept_word: np.ndarray) -> tuple[bytes, list[dict]]:
+    """The text without the lines gone and the windows' words, and the stretches of words cut outside those lines."""
+    data = np.frombuffer(text, np.uint8)
+    words = words_of(data, np.array([0, len(data)]), lower=False)
+    ink = np.concatenate([[0], np.cumsum(~PUNCTUATION[data])])
+    own = np.flatnonzero(ink[words.ends] > ink[words.starts])
+    starts, ends = words.starts[own], words.ends[own]
+    breaks = np.flatnonzero(data == 10)
+    number = np.arange(len(own))
+    if len(window) and window[0] < 0:
+        source, shift, cut = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.ones(len(own), bool)
+    elif len(window):
+        source = np.minimum(np.searchsorted(window, number - PASSAGE + 1), len(window) - 1)
+        shift, cut = (kept_word - window)[source], (window[source] <= number) & (number < window[source] + PASSAGE)
+    else:
+        source, shift, cut = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
+    line = np.searchsorted(breaks, starts)
+    cut &= ~np.isin(line, gone)
+    spans, stay, touched = [], np.ones(len(data) + 1, bool), set()
+    at = np.flatnonzero(cut)
+    if len(at):
+        row = kept_row[source]
+        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (shift[at[1:]] != shift[at[:-1]])])
+        for a, b in zip(at[new], np.append(at[:-1][new[1:]], at[-1])):
+            spans.append({"word": int(a), "n_words": int(b - a + 1), "kept_doc_id": kept_id[source[a]], "kept_word": int(a + shift[a])})
+        apart = np.concatenate([[True], at[1:] != at[:-1] + 1])
+        after = np.append(words.starts, len(data))
+        for a, b in zip(at[apart], np.append(at[:-1][apart[1:]], at[-1])):
+            to, end = after[own[b] + 1], np.searchsorted(breaks, ends[b])
+            stay[starts[a] : min(to, breaks[end]) if end < len(breaks) else to] = False
+        touched = set(np.unique(line[at]).tolist())
+    stay[breaks] = True
+    begins, stops = np.concatenate([[0], breaks + 1]), np.append(breaks, len(data))
+    gone, kept = set(gone.tolist()), []
+    for k, (a, b) in enumerate(zip(begins.tolist(), stops.tolist())):
+        if k in gone:
+            continue
+        piece = data[a:b]
+        if k in touched:
+            piece = piece[stay[a:b]]
+            if not (~IS_SPACE[piece] & ~PUNCTUATION[piece]).any():
+                continue
+        kept.append(piece.tobytes())
+    return b"\n".join(kept), spans
+
+
+CUTS, SPANS = "array<struct<line:int,kept_doc_id:long,kept_line:int>>", "array<struct<word:int,n_words:int,kept_doc_id:long,kept_word:int>>"
+
+
+def cut_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
+    """row, kept (text), cuts, spans of the rows in lists (row, cuts, windows); docs has __row."""
+    span = pa.struct([("word", pa.int32()), ("n_words", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_word", pa.int32())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
+            texts, spans = [], []
+            gone, found = batch.column("gone"), batch.column("windows")
+            for k, text in enumerate(batch.column("text")):
+                parts = found[k].values
+                field = lambda n, t: (parts.field(n).to_numpy(zero_copy_only=False) if len(parts) else np.zeros(0)).astype(t)  # noqa: B023, E731
+                ids, n = parts.field("kept_doc_id").to_pylist() if len(parts) else [], field("n", np.int64)
+                run = np.repeat(np.arange(len(n)), n)
+                step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+                text, cut = rid_of(text.as_py().encode(), gone[k].values.to_numpy(zero_copy_only=False).astype(np.int64), field("word", np.int64)[run] + step, [ids[r] for r in run], field("kept_row", np.int64)[run], field("kept_word", np.int64)[run] + step)
+                texts.append(text.decode())
+                spans.append(cut)
+            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string()), batch.column("cuts"), pa.array(spans, pa.list_(span))], names=["row", "kept", "cuts", "spans"])
+            pa.default_memory_pool().release_unused()
+
+    none = F.expr("cast(array() as array<struct<word:int,n:int,kept_doc_id:long,kept_row:long,kept_word:int>>)")
+    lists = lists.select(F.col("row").alias("__row"), F.coalesce("cuts", F.expr(f"cast(array() as {CUTS})")).alias("cuts"), F.coalesce("windows", none).alias("windows"))
+    joined = docs.select("__row", "text").join(lists, "__row").withColumn("gone", F.transform("cuts", lambda c: c["line"]))
+    return joined.mapInArrow(run, f"row long, kept string, cuts {CUTS}, spans {SPANS}").dropDuplicates(["row"])
+
+
 def removals(docs: DataFrame) -> DataFrame:
     """row, line, kept (row, doc_id, line): every line of the occurrences to be cut, and the first of the one that stays. docs has __row."""
     found = materialise(paragraphs(docs), "paragraphs")
@@ -253,21 +448,22 @@ def removals(docs: DataFrame) -> DataFrame:
     return out
 
 
-def without_repeats(docs: DataFrame, cuts: str = "cuts") -> DataFrame:
-    """docs with text rid of its repeated paragraphs, and in a column named cuts: line, and doc_id and line of what stays."""
-    row = free_name(docs.columns, "__row")
+def without_repeats(docs: DataFrame, cuts: str = "cuts", spans: str = "spans") -> DataFrame:
+    """docs with text rid of its repeats; in a column named cuts line, and doc_id and line of what stays, of paragraphs; in one named spans the words cut besides."""
+    row, kept = free_name(docs.columns, "__row"), free_name(docs.columns, "__kept")
     marked = docs.withColumn(row, row_hash(docs))
-    found = removals(marked.select("doc_id", "text", F.col(row).alias("__row"))).groupBy(F.col("row").alias(row))
-    found = found.agg(F.array_sort(F.collect_set(F.struct("line", F.col("doc_id").alias("kept_doc_id"), "kept_line"))).alias(cuts))
-    joined = marked.join(found, row, "left")
-    gone = F.transform(cuts, lambda c: c["line"])
-    stay = F.filter(F.split("text", "\n", -1), lambda _, i: ~F.array_contains(gone, i))
-    return joined.withColumn("text", F.when(F.col(cuts).isNull(), F.col("text")).otherwise(F.array_join(stay, "\n"))).drop(row)
+    own = marked.select("doc_id", "text", F.col(row).alias("__row"))
+    found = removals(own).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("line", F.col("doc_id").alias("kept_doc_id"), "kept_line"))).alias("cuts"))
+    lists = materialise(found.join(repeated_passages(own), "row", "full"), "lists")
+    made = materialise(cut_texts(own, lists), "texts")
+    discard(lists)
+    joined = marked.join(made.select(F.col("row").alias(row), F.col("kept").alias(kept), F.col("cuts").alias(cuts), F.col("spans").alias(spans)), row, "left")
+    return joined.withColumn("text", F.coalesce(kept, "text")).drop(row, kept)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without their repeated paragraphs; n_chars, if it is there, counts what stays."""
-    return recounted(without_repeats(docs, free_name(docs.columns, "cuts")).select(*docs.columns))
+    return recounted(without_repeats(docs, free_name(docs.columns, "cuts"), free_name(docs.columns, "spans")).select(*docs.columns))
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -276,8 +472,7 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_cut, cuts and the text that stays, of every row."""
+    """doc_id, n_cut, cuts, spans and the text that stays, of every row; n_cut counts cuts and spans."""
     rows = without_repeats(docs.select("doc_id", "text"))
-    none = F.expr("cast(array() as array<struct<line:int,kept_doc_id:long,kept_line:int>>)")
-    cuts = F.coalesce(F.col("cuts"), none)
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(cuts).cast("long").alias("n_cut"), cuts.alias("cuts"), "text")
+    cuts, spans = F.coalesce("cuts", F.expr(f"cast(array() as {CUTS})")), F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.size(cuts) + F.size(spans)).cast("long").alias("n_cut"), cuts.alias("cuts"), spans.alias("spans"), "text")

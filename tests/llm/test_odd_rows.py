@@ -313,3 +313,30 @@ def test_substring_dedup_of_wrapped_lines(spark):
     assert got[1]["text"] == by_id[1] and got[4]["text"] == by_id[4] and got[1]["n_cut"] == got[4]["n_cut"] == 0
     assert [(c["line"], c["kept_doc_id"], c["kept_line"]) for c in got[2]["cuts"]] == [(k, 1, 3) for k in range(2, 9)]
     assert got[2]["text"] == by_id[2].replace(wrapped + "\n", "") and got[3]["text"] == "\nnotes"
+
+
+def test_passages_wherever_they_stand(spark):
+    rng = random.Random(12)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    wrap = lambda words, n: "\n".join(" ".join(words[k : k + n]) for k in range(0, len(words), n))
+    one, two, short, long = new(60), new(120), new(49), new(90)
+    rows = [
+        (1, " ".join(new(70) + one + new(70))), (2, " ".join(new(90) + one + new(90))), (3, wrap(new(40) + one + new(40), 13)), (4, wrap(new(60) + two, 90)), (5, " ".join(new(55) + two + new(20))),
+        (6, " ".join(new(30) + short + new(30))), (7, " ".join(new(40) + short + new(40))), (8, " ".join(long)), (9, wrap(long, 20) + "\n\n - \n"), (10, " ".join(new(80) + long[30:] + new(10) + one[5:])), (None, " ".join(new(80) + [w.upper() + "," for w in one] + new(40))),
+    ]
+    first = {}
+    for i, t in rows:
+        words = bare(t)
+        for k in range(len(words) - 49):
+            first.setdefault(tuple(words[k : k + 50]), (i, k))
+    got = {r["doc_id"]: r for r in rows_of(substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)))}
+    for i, t in rows:
+        words = bare(t)
+        cut = {k + j for k in range(len(words) - 49) if first[tuple(words[k : k + 50])][0] != i for j in range(50)}
+        assert bare(got[i]["text"]) == [w for k, w in enumerate(words) if k not in cut], i
+        if not got[i]["cuts"]:
+            assert {s["word"] + j for s in got[i]["spans"] for j in range(s["n_words"])} == cut
+        assert got[i]["n_cut"] == len(got[i]["cuts"]) + len(got[i]["spans"]) and (got[i]["n_cut"] > 0) == bool(cut)
+        for s in got[i]["spans"]:
+            assert bare(dict(rows)[s["kept_doc_id"]])[s["kept_word"] :][: s["n_words"]] == words[s["word"] :][: s["n_words"]]
+    assert all(got[i]["n_cut"] for i in (2, 3, 5, 9, 10, None)) and not got[7]["n_cut"]
