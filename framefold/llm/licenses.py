@@ -12,6 +12,8 @@ alike; extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,7 +47,37 @@ NOTICES = {
     "CC0-1.0": ["Licensed under CC0 1.0.", "This work is dedicated to the public domain."],
     "ARR": ["All rights reserved."],
 }
-PERMISSIVE = ["MIT", "ISC", "Apache-2.0", "CC-BY-4.0", "CC0-1.0"]
+REDISTRIBUTION = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:"
+SOURCE = "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."
+BINARY = "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
+ENDORSE = "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
+DISCLAIMER = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+UNLICENSE = """This is free and unencumbered software released into the public domain.
+Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.
+In jurisdictions that recognize copyright laws, the author or authors of this software dedicate any and all copyright interest in the software to the public domain. We make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. We intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law.
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+LINK = "For more information, please refer to <https://unlicense.org>"
+
+
+def whole_texts() -> list[tuple[str, str]]:
+    """license, text of the licences of several lines: short ones with and without title, numbers and the line that reserves all rights; long ones as in license_texts."""
+    out = [(p.stem, p.read_text(encoding="utf-8")) for p in sorted((Path(__file__).parent / "license_texts").glob("*.txt"))]
+    titles = {"MIT": ["MIT License", "The MIT License", "The MIT License (MIT)"], "ISC": ["ISC License", "The ISC License", "ISC License (ISC)"]}
+    bodies = [(name, KNOWN[name]) for name in titles]
+    for name, title, parts in (("BSD-2-Clause", "2-Clause", [SOURCE, BINARY]), ("BSD-3-Clause", "3-Clause", [SOURCE, BINARY, ENDORSE])):
+        titles[name] = [f"BSD {title} License", f"The BSD {title} License", "BSD License", "The BSD License"]
+        bodies += [(name, "\n".join([REDISTRIBUTION, *(f"{k}. {p}" if numbered else p for k, p in enumerate(parts, 1)), DISCLAIMER])) for numbered in (True, False)]
+    for name, body in bodies:
+        for reserved in ("", "All rights reserved.\n"):
+            out += [(name, f"{title}\n{reserved}{body}") for title in ("", *titles[name])]
+    out += [("Unlicense", f"{title}\n{UNLICENSE}\n{link}") for title in ("", "The Unlicense", "Unlicense") for link in ("", LINK, LINK.replace("https", "http"))]
+    return out
+
+
+#: The texts of several lines stand in the same table.
+for _license, _text in whole_texts():
+    NOTICES.setdefault(_license, []).append(_text)
+PERMISSIVE = ["MIT", "ISC", "Apache-2.0", "CC-BY-4.0", "CC0-1.0", "BSD-2-Clause", "BSD-3-Clause", "Unlicense"]
 
 
 def canonical_line(line: Column) -> Column:

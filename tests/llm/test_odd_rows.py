@@ -7,6 +7,7 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -340,3 +341,13 @@ def test_passages_wherever_they_stand(spark):
         for s in got[i]["spans"]:
             assert bare(dict(rows)[s["kept_doc_id"]])[s["kept_word"] :][: s["n_words"]] == words[s["word"] :][: s["n_words"]]
     assert all(got[i]["n_cut"] for i in (2, 3, 5, 9, 10, None)) and not got[7]["n_cut"]
+
+
+def test_whole_licenses(spark):
+    folder = Path(licenses.__file__).parent / "license_texts"
+    items = ["* " + x for x in (licenses.SOURCE, licenses.BINARY)]
+    bsd = "\n\n".join([licenses.REDISTRIBUTION, *items, licenses.DISCLAIMER])
+    rows = [("MIT", "MIT License\n\nCopyright (c) 2020 A. Body\n\n" + licenses.KNOWN["MIT"].replace(", ", ",\n")), ("BSD-2-Clause", "BSD 2-Clause License\n\nCopyright (c) 2020, A. Body\n\n" + bsd), ("BSD-3-Clause", bsd.replace(items[1], items[1] + "\n" + licenses.ENDORSE))]
+    rows += [(p.stem, p.read_text().replace("\n", "\r\n")) for p in sorted(folder.glob("*.txt"))] + [("Unlicense", licenses.UNLICENSE + "\n" + licenses.LINK), (None, bsd + " more")]
+    got = rows_of(licenses.license_report(spark.createDataFrame([(k, t) for k, (_, t) in enumerate(rows)], "doc_id long, text string")))
+    assert {r["doc_id"]: r["license"] for r in got} == {k: name for k, (name, _) in enumerate(rows)}
