@@ -1,36 +1,45 @@
 """Substring dedup by MinHash banding of paragraphs.
 
-A paragraph is a line of at least LEAST_WORDS words, or a run of shorter lines
-that no line without words parts, if it has as many in all; it is read in lower
-case and without ASCII punctuation. Equal paragraphs share a 64-bit name. BANDS bands
-of ROWS MinHash values over shingles of 5 words make paragraphs of similarity
-0.8 meet in some bucket with a probability of 0.998; those that meet are
-compared by the exact Jaccard similarity of their shingles, and linked from
-0.8. In each connected component one occurrence stays, that with the least
-(doc_id, line); all others are cut out of their texts.
+Texts are read in lower case and without ASCII punctuation. What is cut has
+PASSAGE words or more. Paragraphs are of two kinds:
+
+* Lines of PASSAGE words or more, and runs of shorter lines that no line
+  without words parts, if they have as many in all. BANDS bands of ROWS MinHash values
+  over shingles of 5 words make two of similarity 0.8 meet in some bucket with
+  a probability of 0.998; those that meet are compared by the exact Jaccard
+  similarity of their shingles, and linked from 0.8. In each connected
+  component the one with the least (doc_id, row, word) stays, all others are cut.
+* Units of UNIT words, whose places the words themselves choose: a unit starts
+  at a shingle whose hash is least among some SPACING neighbours. So any
+  PASSAGE words hold a unit, the same one wherever they stand and wherever
+  lines break. Equal units share all MinHash values: one band of UNIT_ROWS
+  brings them together, and a hash of their words tells those that are equal
+  from those that are only alike. Of each group the least occurrence stays.
+  Units next to each other that match neighbouring units of one row make a
+  span, and a span grows word for word as far as the two texts agree: at most
+  UNIT words on each side, as beyond that there would be another unit. Spans
+  of PASSAGE words or more are cut.
+
+A span that agrees with the first occurrence of its units in too few words is
+compared once more with others of its kind, by hashes of all PASSAGE words
+around it. A passage that repeats within one row only is not cut.
 
 Within a bucket each paragraph is compared with the bucket's representative,
 another one in each band. What is linked then needs no more comparisons among
-itself. Paragraphs of one bucket that are still in different components, such
-as those with a common passage in otherwise different lines, meet once more in
-FINE_BANDS bands of FINE_ROWS values, which few but similar ones share: again
-with representatives first, and what is then still apart pair by pair, if
-sketches of their MinHash values are alike. So
-groups of copies cost no more than their rows; of the pairs with a similarity of
-0.8, the finer bands miss one in a thousand.
-
-Besides, whatever stands in PASSAGE words or more that occur word for word in an
-earlier row is cut, wherever lines break and whether or not it begins or ends
-one. Of SEED-word grams, those that are least among the grams of some PASSAGE
-words are marked, so equal passages have one in common; all windows of PASSAGE
-words around marks that are in several texts are then compared by their 64-bit
-hashes, and each but the first is cut. Texts of the same words
-are taken once; the others of them are cut as a whole. A passage that repeats
-within one row only is cut as a paragraph or not at all.
-
-Defined cases: null texts have no paragraphs and stay null; rows that are equal in all columns are cut
-alike; null ids come last and are kept as null; extra columns are kept; an
-empty table gives no rows. A text that loses all its lines becomes empty.
+itself. Paragraphs of one bucket of three or more that are still in different
+components meet once more in FINE_BANDS bands of FINE_ROWS values, which few
+but similar ones share: again with representatives first, and what is then
+still apart pair by pair, if sketches of their MinHash values are alike. So
+groups of copies cost no more than their rows; of the pairs with a similarity
+of 0.8, the finer bands miss one in a thousand.
+
+Rows are numbered apart, so rows that are equal in all columns are rid of
+their repeats like any others. Units are told apart by 128 bits; a paragraph
+whose 64-bit name also belongs to another one is left alone.
+
+Defined cases: null texts have no paragraphs and stay null; null ids come last
+and are kept as null; extra columns are kept; an empty table gives no rows. A
+line that loses all its words goes; a text that loses all lines becomes empty.
 """
 
 from __future__ import annotations
@@ -44,67 +53,120 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .storage import discard, free_name, materialise, row_hash
-from .text import IS_SPACE, ODD, Words, gram_hashes, mix, slices, words_of
-
-LEAST_WORDS, SHINGLE, SIMILAR = 25, 5, 0.8
-#: Words of the shortest passage that is cut wherever it stands, and of the grams by which passages are found.
-PASSAGE, SEED = 50, 25
-BANDS, ROWS = 12, 4
+from .storage import discard, free_name, let_go, materialise
+from .text import IS_SPACE, ODD, Words, gram_hashes, lower_slices, mix, release, words_of
+
+#: Words of the shortest passage that is cut, of the units by which passages are found, and of shingles.
+PASSAGE, UNIT, SHINGLE = 50, 25, 5
+SPACING = PASSAGE - UNIT + 1
+SIMILAR = 0.8
+BANDS, ROWS, UNIT_ROWS = 12, 4, 4
 #: The finer bands: similarity 0.8 meets with a probability of 0.999, 0.6 with 0.2, 0.5 with 0.02.
 FINE_BANDS, FINE_ROWS = 100, 12
 #: One bit of each of so many MinHash values, and how many may differ: (1 - 0.8) / 2 of them would, give or take 10.
 SKETCH_BITS, SKETCH_MOST = 1152, 147
+#: Units handled at once.
+BLOCK = 1 << 14
 PUNCTUATION = np.zeros(256, bool)
 PUNCTUATION[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = True
 
 
-def lines_of(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray, np.ndarray, np.ndarray]:
-    """Words of each line or run of short lines, its text, its first line's number in it (as in a split at \\n) and how many lines it has."""
-    ends = np.flatnonzero(data == 10)
-    starts = np.unique(np.concatenate([offsets[:-1], ends + 1]))
-    starts = starts[starts < len(data)] if len(data) else starts[:0]
-    text = np.searchsorted(offsets, starts, "right") - 1
-    number = np.searchsorted(ends, starts) - np.searchsorted(ends, offsets[text])
+def bare_words(data: np.ndarray, offsets: np.ndarray) -> tuple[Words, np.ndarray]:
+    """Words of each text without punctuation, and how many bytes are left before each byte."""
     ink = ~PUNCTUATION[data]
-    upto = np.concatenate([[0], np.cumsum(ink)])
-    words = words_of(data[ink], upto[np.append(starts, len(data))], lower=False)
-    short = (words.counts > 0) & (words.counts < LEAST_WORDS)
+    upto = np.zeros(len(data) + 1, np.int32 if len(data) < 1 << 31 else np.int64)
+    np.cumsum(ink, out=upto[1:])
+    return words_of(data[ink], upto[offsets], lower=False), upto
+
+
+def paragraphs_of(data: np.ndarray, offsets: np.ndarray, words: Words, upto: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First word, end and text of each line, or run of short lines, of PASSAGE words or more."""
+    starts = np.unique(np.concatenate([offsets[:-1], np.flatnonzero(data == 10) + 1]))
+    starts = starts[starts < len(data)]
+    text = np.searchsorted(offsets, starts, "right") - 1
+    first = np.append(np.searchsorted(words.starts, upto[starts]), len(words))
+    count = np.diff(first)
+    short = (count > 0) & (count < PASSAGE)
     new = np.ones(len(starts), bool)
     new[1:] = ~(short[1:] & short[:-1] & (text[1:] == text[:-1]))
-    at = np.append(np.flatnonzero(new), len(starts))
-    words = Words(words.data, words.starts, words.ends, words.first[at], words.offsets[at])
-    return words, text[at[:-1]], number[at[:-1]], np.diff(at)
+    at = np.flatnonzero(new)
+    begin, end = first[at], first[np.append(at[1:], len(starts))]
+    long = end - begin >= PASSAGE
+    return begin[long], end[long], text[at[long]]
 
 
-def names(words: Words, hashes: np.ndarray, lines: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the word sequence of each of the lines."""
-    a, b = words.first[lines], words.first[lines + 1]
-    sums = np.zeros(len(hashes) + 1, np.uint64)
-    place = np.arange(len(hashes), dtype=np.uint64) - np.repeat(words.first[:-1], words.counts).astype(np.uint64)
-    np.cumsum(mix(hashes + place * np.uint64(ODD)), out=sums[1:])
-    return mix(sums[b] - sums[a] + (b - a).astype(np.uint64)).view(np.int64)
+def least_of(values: np.ndarray, n: int) -> np.ndarray:
+    """The least of each n neighbours in values."""
+    if len(values) < n:
+        return values[:0]
+    out, width = values, 1
+    while 2 * width <= n:
+        out, width = np.minimum(out[:-width], out[width:]), 2 * width
+    more = n - width
+    return np.minimum(out[: len(out) - more], out[more:]) if more else out
 
 
-def shingles(words: Words, hashes: np.ndarray, lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The shingle hashes of the lines one after another, and where each line's begin (one more at the end)."""
-    grams = gram_hashes(hashes, SHINGLE)
-    n = words.counts[lines] - SHINGLE + 1
-    bounds = np.concatenate([[0], np.cumsum(n)])
-    at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], n) + np.repeat(words.first[lines], n)
-    return grams[at], bounds
+def unit_starts(words: Words, grams: np.ndarray) -> np.ndarray:
+    """First words of the units: starts that are least among some SPACING of PASSAGE words of one text."""
+    m = len(words) - PASSAGE + 1
+    if m <= 0:
+        return np.zeros(0, np.int64)
+    text = words.text_of()
+    least = least_of(grams[: m + SPACING - 1], SPACING).copy()
+    least[text[:m] != text[PASSAGE - 1 :]] = 0
+    around = np.zeros(m + 2 * (SPACING - 1), np.uint64)
+    around[SPACING - 1 : SPACING - 1 + m] = least
+    return np.flatnonzero(~least_of(~around, SPACING) == grams[: m + SPACING - 1])
+
+
+def salts(count: int, seed: int = 0) -> np.ndarray:
+    return mix(np.arange(1, 2 * count + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+
+
+def unit_hashes(starts: np.ndarray, hashes: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The band and the name of each unit."""
+    band, name = np.full(len(starts), BANDS + 1, np.uint64), np.zeros(len(starts), np.uint64)
+    salt = salts(UNIT_ROWS)
+    for at in range(0, len(starts), BLOCK):
+        own = starts[at : at + BLOCK, None]
+        shingles = grams[own + np.arange(UNIT - SHINGLE + 1)]
+        for row in range(UNIT_ROWS):
+            least = ((shingles ^ salt[2 * row]) * salt[2 * row + 1]).min(axis=1)
+            band[at : at + BLOCK] = mix(band[at : at + BLOCK] * np.uint64(ODD) + least)
+        for k in range(UNIT):
+            name[at : at + BLOCK] = name[at : at + BLOCK] * np.uint64(ODD) + hashes[own[:, 0] + k]
+    return band.view(np.int64), mix(name).view(np.int64)
+
+
+def ranges(begin: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Runs of count numbers from begin one after another, each number's place in its run, and where runs begin (one more at the end)."""
+    bounds = np.concatenate([[0], np.cumsum(count)])
+    place = np.arange(bounds[-1]) - np.repeat(bounds[:-1], count)
+    return place + np.repeat(begin, count), place, bounds
+
+
+def sequence_hashes(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of the word sequence of each paragraph."""
+    if not len(begin):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    at, place, bounds = ranges(begin, end - begin)
+    count = (end - begin).astype(np.uint64)
+    own, place = hashes[at], place.astype(np.uint64) * np.uint64(ODD)
+    one = np.add.reduceat(mix(own + place), bounds[:-1])
+    two = np.add.reduceat(mix(own ^ mix(place + np.uint64(1))), bounds[:-1])
+    return mix(one + count).view(np.int64), mix(two ^ count).view(np.int64)
 
 
 def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows: int = ROWS, seed: int = 0, bits: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """bands longs for each line, the band's number being part of each; and as longs one bit of each of the first bits values."""
+    """bands longs for each paragraph, the band's number being part of each; and as longs one bit of each of the first bits values."""
     sketch = np.zeros((len(bounds) - 1, bits // 64), np.uint64)
     out = np.zeros((len(bounds) - 1, bands), np.uint64)
-    salts = mix(np.arange(1, 2 * bands * rows + 1, dtype=np.uint64) + np.uint64(seed << 32)) | np.uint64(1)
+    salt = salts(bands * rows, seed)
     for band in range(bands):
         key = np.full(len(bounds) - 1, band + 1, np.uint64)
         for row in range(rows):
             k = 2 * (band * rows + row)
-            least = np.minimum.reduceat((grams ^ salts[k]) * salts[k + 1], bounds[:-1])
+            least = np.minimum.reduceat((grams ^ salt[k]) * salt[k + 1], bounds[:-1])
             if k // 2 < bits:
                 sketch[:, k // 128] |= (mix(least) & np.uint64(1)) << np.uint64(k // 2 % 64)
             key = mix(key * np.uint64(ODD) + least)
@@ -112,62 +174,170 @@ def band_hashes(grams: np.ndarray, bounds: np.ndarray, bands: int = BANDS, rows:
     return out.view(np.int64), sketch.view(np.int64)
 
 
-def paragraphs(docs: DataFrame) -> DataFrame:
-    """row, doc_id, line, lines (how many), name, bands of every paragraph; docs has __row."""
+def lists(values: np.ndarray, count: np.ndarray) -> pa.Array:
+    """values one after another as lists of count each."""
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(values))
+
+
+def pieces(docs: DataFrame) -> DataFrame:
+    """row, doc_id, word, n, name, key (a unit's band, a paragraph's second hash), bands (null of units) of every unit and paragraph; docs has __row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words, text, number, many = lines_of(data, offsets)
-                lines = np.flatnonzero(words.counts >= LEAST_WORDS)
-                if not len(lines):
+            rows, ids = batch.column("__row"), batch.column("doc_id").cast(pa.int64())
+            for at, to, data, offsets in lower_slices(batch.column("text")):
+                words, upto = bare_words(data, offsets)
+                begin, end, of = paragraphs_of(data, offsets, words, upto)
+                if len(words) < PASSAGE:
                     continue
                 hashes = words.hashes()
-                bands, _ = band_hashes(*shingles(words, hashes, lines))
-                of = pa.array(at + text[lines])
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(number[lines], pa.int32()), pa.array(many[lines], pa.int32()), pa.array(names(words, hashes, lines)), pa.ListArray.from_arrays(pa.array(np.arange(len(lines) + 1) * BANDS, pa.int32()), pa.array(bands.ravel()))],
-                    names=["row", "doc_id", "line", "lines", "name", "bands"],
-                )
+                grams = gram_hashes(hashes, SHINGLE)
+                starts = unit_starts(words, grams)
+                key, name = unit_hashes(starts, hashes, grams)
+                names, checks = sequence_hashes(begin, end, hashes)
+                shingles, _, bounds = ranges(begin, end - begin - SHINGLE + 1)
+                bands = band_hashes(grams[shingles], bounds)[0] if len(begin) else np.zeros((0, BANDS), np.int64)
+                text = np.concatenate([np.searchsorted(words.first, starts, "right") - 1, of])
+                none = np.zeros(len(text), bool)
+                none[: len(starts)] = True
+                count = np.where(none, 0, BANDS)
+                banded = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(count)]), pa.int32()), pa.array(bands.ravel()), mask=pa.array(none))
+                first = np.concatenate([starts, begin])
+                own = pa.array(at + text)
+                columns = [rows.take(own), ids.take(own), pa.array((first - words.first[text]).astype(np.int32)), pa.array(np.concatenate([np.full(len(starts), UNIT), end - begin]).astype(np.int32)), pa.array(np.concatenate([name, names])), pa.array(np.concatenate([key, checks])), banded]
+                yield pa.RecordBatch.from_arrays(columns, names=["row", "doc_id", "word", "n", "name", "key", "bands"])
+            release()
+
+    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, word int, n int, name long, key long, bands array<long>")
+
+
+def place() -> Column:
+    """The order by which one occurrence stays."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word")
+
+
+def runs(units: DataFrame) -> DataFrame:
+    """row, word, n, to_row, to_doc, shift of units in unbroken succession that match units of one row at the same distance."""
+    shared = units.groupBy("key", "name").agg(F.min(place()).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").select("key", "name", "kept")
+    shared = materialise(shared, "shared")
+    at = F.struct("word", F.col("kept.row").alias("to_row"), F.col("kept.doc_id").alias("to_doc"), (F.col("kept.word") - F.col("word")).alias("shift"))
+    met = units.join(shared, ["key", "name"]).filter(F.col("row") != F.col("kept.row")).select("row", at.alias("at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column("ats")
+            flat, count = at.flatten(), pc.list_value_length(at).to_numpy()
+            text = np.repeat(np.arange(len(batch)), count)
+            word, row, shift = (flat.field(k).to_numpy() for k in ("word", "to_row", "shift"))
+            new = np.ones(len(word), bool)
+            new[1:] = (text[1:] != text[:-1]) | (row[1:] != row[:-1]) | (shift[1:] != shift[:-1]) | (word[1:] - word[:-1] > UNIT)
+            begin = np.flatnonzero(new)
+            last = np.append(begin[1:], len(word)) - 1
+            take = pa.array(begin)
+            columns = [batch.column("row").take(pa.array(text[begin])), pa.array(word[begin]), pa.array(word[last] - word[begin] + np.int32(UNIT)), *(flat.field(k).take(take) for k in ("to_row", "to_doc", "shift"))]
+            yield pa.RecordBatch.from_arrays(columns, names=["row", "word", "n", "to_row", "to_doc", "shift"])
+
+    found = met.groupBy("row").agg(F.sort_array(F.collect_list("at")).alias("ats")).mapInArrow(run, "row long, word int, n int, to_row long, to_doc long, shift int")
+    found = materialise(found, "runs")
+    discard(shared)
+    return found
+
+
+#: What fetched() gets: shingles of a paragraph (a is its name), words beside a place (n is the side, 0 left, 1 right),
+#: or the same of both sides of a run and the hashes of all PASSAGE words around a short one (a, b, shift are its to_row, to_doc, shift).
+SHINGLES, BESIDE, AROUND = range(3)
+WANT = "struct<kind:int,word:int,n:int,a:long,b:long,shift:int>"
+
+
+def want(kind: int, word: Column, n: Column, a: Column | None = None, b: Column | None = None, shift: Column | None = None) -> Column:
+    null = F.lit(None)
+    return F.struct(F.lit(kind), word, n, null if a is None else a, null if b is None else b, null if shift is None else shift).cast(WANT).alias("want")
+
+
+def requests(run_rows: DataFrame, wanted: DataFrame) -> DataFrame:
+    """row, wants: what is to be fetched from each row for runs and for the wanted paragraphs (row, word, n, name)."""
+    sides = F.explode(F.array(F.struct((F.col("word") + F.col("shift")).alias("at"), F.lit(0).alias("side")), F.struct((F.col("word") + F.col("n") + F.col("shift")).alias("at"), F.lit(1).alias("side"))))
+    beside = run_rows.select(F.col("to_row").alias("row"), sides.alias("s")).distinct().select("row", want(BESIDE, F.col("s.at"), F.col("s.side")))
+    own = run_rows.select("row", want(AROUND, F.col("word"), F.col("n"), F.col("to_row"), F.col("to_doc"), F.col("shift")))
+    sets = wanted.select("row", want(SHINGLES, F.col("word"), F.col("n"), F.col("name")))
+    return beside.union(own).union(sets).groupBy("row").agg(F.collect_list("want").alias("wants"))
 
-    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, line int, lines int, name long, bands array<long>")
 
+def beside(words: Words, hashes: np.ndarray, text: np.ndarray, at: np.ndarray, side: np.ndarray) -> pa.Array:
+    """The hashes of up to UNIT words to the left or right of each place, outward."""
+    step = np.arange(UNIT)
+    index = np.where(side[:, None] == 0, at[:, None] - 1 - step, at[:, None] + step)
+    inside = (index >= words.first[text][:, None]) & (index < words.first[text + 1][:, None])
+    return lists(hashes[index[inside]].view(np.int64), inside.sum(axis=1))
 
-def shingle_sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """name, grams (sorted, distinct) of the wanted paragraphs (row, name)."""
-    lists = wanted.groupBy(F.col("row").alias("__row")).agg(F.collect_set("name").alias("wanted"))
-    joined = docs.select("__row", "text").join(lists, "__row")
+
+def fetched(docs: DataFrame, wants: DataFrame) -> DataFrame:
+    """kind, side, row, doc_id, word, n, a, b, shift and values of each want; docs has __row. side 2: hashes of all PASSAGE words from word on."""
+    joined = docs.select("__row", "doc_id", "text").join(wants.withColumnRenamed("row", "__row"), "__row")
+    fields = ("word", "n", "a", "b", "shift")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            asked = batch.column("wanted")
-            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words, text, _, _ = lines_of(data, offsets)
-                lines = np.flatnonzero(words.counts >= LEAST_WORDS)
+            rows, ids, asked = batch.column("__row"), batch.column("doc_id").cast(pa.int64()), batch.column("wants")
+            for at, to, data, offsets in lower_slices(batch.column("text")):
+                words, _ = bare_words(data, offsets)
                 hashes = words.hashes()
-                found = names(words, hashes, lines)
-                pick = np.zeros(len(lines), bool)
-                rows = at + text[lines]
-                for k in np.unique(rows):
-                    own = rows == k
-                    pick[own] = np.isin(found[own], asked[int(k)].values.to_numpy())
-                lines, found = lines[pick], found[pick]
-                if not len(lines):
-                    continue
-                grams, bounds = shingles(words, hashes, lines)
-                sets = [np.unique(grams[a:b]).view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
-                ends = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
-                yield pa.RecordBatch.from_arrays([pa.array(found), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(sets)))], names=["name", "grams"])
-
-    return joined.select("text", "wanted").mapInArrow(run, "name long, grams array<long>").dropDuplicates(["name"])
+                part = asked.slice(at, to - at)
+                flat, of = part.flatten(), np.repeat(np.arange(to - at), pc.list_value_length(part).to_numpy())
+                kind, word, n = (flat.field(k).to_numpy() for k in ("kind", "word", "n"))
+
+                def made(pick: np.ndarray, side: int, values: pa.Array) -> pa.RecordBatch:
+                    own, some = pa.array(at + of[pick]), flat.take(pa.array(pick))  # noqa: B023
+                    columns = [some.field("kind"), pa.array(np.full(len(pick), side, np.int32)), rows.take(own), ids.take(own), *(some.field(k) for k in fields), values]  # noqa: B023
+                    return pa.RecordBatch.from_arrays(columns, names=["kind", "side", "row", "doc_id", *fields, "values"])
+
+                pick = np.flatnonzero(kind == SHINGLES)
+                if len(pick):
+                    grams = gram_hashes(hashes, SHINGLE)
+                    begin = words.first[of[pick]] + word[pick]
+                    sets = [np.unique(grams[a : a + k - SHINGLE + 1]).view(np.int64) for a, k in zip(begin.tolist(), n[pick].tolist())]
+                    yield made(pick, 0, lists(np.concatenate(sets), np.array([len(x) for x in sets])))
+                for side in (0, 1):
+                    pick = np.flatnonzero((kind == BESIDE) & (n == side))
+                    if len(pick):
+                        yield made(pick, side, beside(words, hashes, of[pick], words.first[of[pick]] + word[pick], np.full(len(pick), side)))
+                    pick = np.flatnonzero(kind == AROUND)
+                    if len(pick):
+                        yield made(pick, side, beside(words, hashes, of[pick], words.first[of[pick]] + word[pick] + side * n[pick], np.full(len(pick), side)))
+                pick = np.flatnonzero((kind == AROUND) & (n < PASSAGE))
+                if len(pick):
+                    whole = gram_hashes(hashes, PASSAGE).view(np.int64)
+                    low = words.first[of[pick]] + np.maximum(word[pick] - UNIT, 0)
+                    high = np.minimum(words.first[of[pick]] + word[pick] + n[pick] + UNIT, words.first[of[pick] + 1]) - PASSAGE + 1
+                    count = np.maximum(high - low, 0)
+                    yield made(pick, 2, lists(whole[ranges(low, count)[0]], count))
+            release()
+
+    return joined.mapInArrow(run, "kind int, side int, row long, doc_id long, word int, n int, a long, b long, shift int, values array<long>")
+
+
+def grown(found: DataFrame) -> DataFrame:
+    """row, word, n, kept_doc_id, kept_word: the spans of PASSAGE words or more among what was fetched of runs."""
+    own = found.filter((F.col("kind") == AROUND) & (F.col("side") < 2)).withColumn("at", F.col("word") + F.col("shift") + F.col("side") * F.col("n"))
+    there = found.filter(F.col("kind") == BESIDE).select(F.col("row").alias("a"), F.col("word").alias("at"), "side", F.col("values").alias("others"))
+    same = F.zip_with("values", "others", lambda x, y: F.coalesce(x == y, F.lit(False)))
+    equal = F.coalesce(F.nullif(F.array_position(same, False), F.lit(0).cast("long")) - 1, F.size(same).cast("long")).cast("int")
+    sides = own.join(there, ["a", "at", "side"]).select("row", "word", "n", "a", "b", "shift", "side", equal.alias("more"))
+    both = sides.groupBy("row", "word", "n", "a", "b", "shift").agg(F.max(F.when(F.col("side") == 0, F.col("more"))).alias("left"), F.max(F.when(F.col("side") == 1, F.col("more"))).alias("right"))
+    both = materialise(both.withColumn("long", F.col("left") + F.col("n") + F.col("right") >= PASSAGE), "grown")
+    long = both.filter("long").select("row", (F.col("word") - F.col("left")).alias("word"), (F.col("left") + F.col("n") + F.col("right")).alias("n"), F.col("b").alias("kept_doc_id"), (F.col("word") - F.col("left") + F.col("shift")).alias("kept_word"))
+    # Those too short with their first occurrence may be longer with one another.
+    again = found.filter((F.col("kind") == AROUND) & (F.col("side") == 2)).join(both.filter("not long").select("row", "word", "a", "shift"), ["row", "word", "a", "shift"])
+    start = F.greatest(F.col("word") - UNIT, F.lit(0))
+    windows = materialise(again.select("row", "doc_id", start.alias("start"), F.posexplode("values").alias("k", "window")).select("row", "doc_id", (F.col("start") + F.col("k")).alias("word"), "window").distinct(), "windows")
+    firsts = windows.groupBy("window").agg(F.min(place()).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").select("window", "kept")
+    more = windows.join(materialise(firsts, "firsts"), "window").filter(F.col("row") != F.col("kept.row")).select("row", "word", F.lit(PASSAGE).alias("n"), F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
+    return long.union(more)
 
 
 def finer(sets: DataFrame) -> DataFrame:
     """name, bands, sketch, size of sets (name, grams): the finer bands, SKETCH_BITS bits and the number of shingles."""
 
-    def lists(values: np.ndarray) -> pa.Array:
-        return pa.ListArray.from_arrays(pa.array(np.arange(len(values) + 1) * values.shape[1], pa.int32()), pa.array(values.ravel()))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, len(batch), 512):
@@ -175,7 +345,8 @@ def finer(sets: DataFrame) -> DataFrame:
                 grams = part.column("grams")
                 bounds = grams.offsets.to_numpy() - grams.offsets[0].as_py()
                 bands, sketch = band_hashes(grams.flatten().to_numpy().view(np.uint64), bounds, FINE_BANDS, FINE_ROWS, 1, SKETCH_BITS)
-                yield pa.RecordBatch.from_arrays([part.column("name"), lists(bands), lists(sketch), pa.array(np.diff(bounds), pa.int32())], names=["name", "bands", "sketch", "size"])
+                every = [lists(x.ravel(), np.full(len(x), x.shape[1])) for x in (bands, sketch)]
+                yield pa.RecordBatch.from_arrays([part.column("name"), *every, pa.array(np.diff(bounds), pa.int32())], names=["name", "bands", "sketch", "size"])
 
     return sets.select("name", "grams").mapInArrow(run, "name long, bands array<long>, sketch array<long>, size int")
 
@@ -201,14 +372,15 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 
 def met_in(rows: DataFrame, name: str) -> DataFrame:
-    """Of rows (name, band): those in buckets of several names, with head, the representative.
+    """Of rows (name, band): those in buckets of several names, with head, the representative, and many, whether there are more than two.
 
     The order of names differs from band to band, and with it the representative.
     """
     mark = F.col("name").bitwiseXOR(F.col("band"))
     buckets = rows.withColumn("mark", mark).groupBy("band").agg(F.min("mark").alias("low"), F.max("mark").alias("high")).filter("low != high")
-    buckets = materialise(buckets.select("band", F.col("low").bitwiseXOR(F.col("band")).alias("head")), f"{name}-buckets")
-    out = materialise(rows.join(buckets, "band").distinct(), name)
+    buckets = materialise(buckets.select("band", "low", "high"), f"{name}-buckets")
+    met = rows.join(buckets, "band").withColumn("mark", mark).select("name", "band", F.col("low").bitwiseXOR(F.col("band")).alias("head"), ((F.col("mark") != F.col("low")) & (F.col("mark") != F.col("high"))).alias("third"))
+    out = materialise(met.distinct(), name)
     discard(buckets)
     return out
 
@@ -219,251 +391,130 @@ def star(members: DataFrame) -> DataFrame:
 
 
 def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
-    """band, name, root of the members of buckets that hold several components."""
-    placed = materialise(members.select("band", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left").select("band", "name", F.coalesce("root", "name").alias("root")), f"{name}-placed")
+    """band, name, root of the members of buckets of three or more that hold several components."""
+    many = members.filter("third").select("band").distinct()
+    placed = members.join(many, "band", "left_semi").select("band", "name").join(roots.select(F.col("node").alias("name"), "root"), "name", "left")
+    placed = materialise(placed.select("band", "name", F.coalesce("root", "name").alias("root")), f"{name}-placed")
     mixed = placed.groupBy("band").agg(F.min("root").alias("a"), F.max("root").alias("b")).filter("a != b").select("band")
     out = materialise(placed.join(mixed, "band"), name)
     discard(placed)
     return out
 
 
-def whole_texts(data: np.ndarray, offsets: np.ndarray) -> Words:
-    """Words of each text, without punctuation."""
-    ink = ~PUNCTUATION[data]
-    return words_of(data[ink], np.concatenate([[0], np.cumsum(ink)])[offsets], lower=False)
-
-
-def least_of(values: np.ndarray, n: int) -> np.ndarray:
-    """The least of each n neighbours in values."""
-    if len(values) < n:
-        return values[:0]
-    out, width = values, 1
-    while 2 * width <= n:
-        out, width = np.minimum(out[:-width], out[width:]), 2 * width
-    more = n - width
-    return np.minimum(out[: len(out) - more], out[more:]) if more else out
-
-
-def passages(words: Words) -> np.ndarray:
-    """First words of all PASSAGE words of one text."""
-    text = words.text_of()
-    return np.flatnonzero(text[: max(len(text) - PASSAGE + 1, 0)] == text[PASSAGE - 1 :])
-
-
-def seeds(docs: DataFrame) -> DataFrame:
-    """row, doc_id, name (of all words) and seeds, the marked grams, of every text of PASSAGE words or more; docs has __row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words = whole_texts(data, offsets)
-                texts = np.flatnonzero(words.counts >= PASSAGE)
-                if not len(texts):
-                    continue
-                hashes, first = words.hashes(), passages(words)
-                least = least_of(gram_hashes(hashes, SEED), PASSAGE - SEED + 1)[first]
-                text = words.text_of()[first]
-                new = np.concatenate([[True], (least[1:] != least[:-1]) | (text[1:] != text[:-1])])
-                least, text = least[new], text[new]
-                bounds = np.append(np.searchsorted(text, texts), len(text))
-                of = pa.array(at + texts)
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("__row").take(of), batch.column("doc_id").take(of).cast(pa.int64()), pa.array(names(words, hashes, texts)), pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(least.view(np.int64)))],
-                    names=["row", "doc_id", "name", "seeds"],
-                )
-
-    return docs.select("__row", "doc_id", "text").mapInArrow(run, "row long, doc_id long, name long, seeds array<long>")
-
+def clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """node, root of the paragraphs that are linked to others; sets (name, grams) of all members."""
+    links = [materialise(verified(star(members), sets), "links")]
+    roots = connected_components(links[0])
+    mixed = apart(members, roots, "mixed")
+    again = materialise(mixed.select("name").distinct(), "again")
+    old = [mixed, again]
+    if not again.isEmpty():
+        fine = materialise(finer(sets.join(again, "name", "left_semi")), "fine")
+        close = met_in(fine.select("name", F.explode("bands").alias("band")), "close")
+        links.append(materialise(verified(star(close), sets), "links"))
+        roots = connected_components(links[0].union(links[1]))
+        rest = apart(close, roots, "rest")
+        close_by = materialise(rest.join(fine.select("name", "sketch", "size"), "name").join(sets, "name"), "rest")
+        a, b = close_by.alias("a"), close_by.alias("b")
+        # Pairs are verified within the join: only links come out of it.
+        pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & alike("a", "b") & similar(F.col("a.grams"), F.col("b.grams")))
+        links.append(materialise(pairs.select(F.least("a.name", "b.name").alias("u"), F.greatest("a.name", "b.name").alias("v")).distinct(), "links"))
+        if not links[2].isEmpty():
+            roots = connected_components(links[0].union(links[1]).union(links[2]))
+        old += [fine, close, rest, close_by]
+    roots = materialise(roots, "roots")
+    discard(*links, *old)
+    return roots
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """row, spans (word, n, kept_doc_id, kept_word): the stretches of words to be cut from each row that has any. docs has __row."""
+    found = materialise(pieces(docs), "pieces")
+    units, lines = found.filter("bands is null"), found.filter("bands is not null")
+    run_rows = runs(units.select("row", "doc_id", "word", "name", "key"))
+    lines = lines.select("row", "doc_id", "word", "n", "name", "key", "bands")
+    members = met_in(lines.select("name", F.explode("bands").alias("band")), "members")
+    unique = lines.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word", "n")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a = b")
+    unique = materialise(unique.select("name", "first"), "names")
+    wanted = members.select("name").distinct().join(unique, "name").select(F.col("first.row").alias("row"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "name")
+    got = materialise(fetched(docs, requests(run_rows, wanted)), "fetched")
+    discard(run_rows)
+    let_go(docs.sparkSession)
+    spans = grown(got)
+    roots = clusters(members, got.filter(F.col("kind") == SHINGLES).select(F.col("a").alias("name"), F.col("values").alias("grams")))
+    grouped = materialise(unique.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")), "grouped")
+    kept = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("kept")), "root").select("name", "kept")
+    cut = lines.select("row", "word", "n", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("word") != F.col("kept.word")))
+    cut = cut.select("row", "word", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
+    out = materialise(spans.union(cut).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("word", "n", "kept_doc_id", "kept_word"))).cast(SPANS).alias("spans")), "cuts")
+    discard(found, members, unique, got, roots, grouped)
+    let_go(docs.sparkSession)
+    return out
 
-def windows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """window (a hash), first (none, doc_id, row, word) of all PASSAGE words around the seeds of the wanted texts (row, doc_id, seeds)."""
-    joined = docs.select("__row", "text").join(wanted.withColumnRenamed("row", "__row"), "__row")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            lists = batch.column("seeds")
-            for at, to, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
-                words = whole_texts(data, offsets)
-                hashes, first = words.hashes(), passages(words)
-                if not len(first):
-                    continue
-                grams, whole = gram_hashes(hashes, SEED).view(np.int64), gram_hashes(hashes, PASSAGE).view(np.int64)
-                text = words.text_of()
-                asked = np.zeros(len(grams), bool)
-                for k in range(to - at):
-                    a, b = words.first[k], max(words.first[k], words.first[k + 1] - SEED + 1)
-                    asked[a:b] = np.isin(grams[a:b], lists[at + k].values.to_numpy())
-                upto = np.concatenate([[0], np.cumsum(asked)])
-                first = first[upto[first + PASSAGE - SEED + 1] > upto[first]]
-                of = pa.array(at + text[first])
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(whole[first]), batch.column("__row").take(of), batch.column("doc_id").take(of), pa.array((first - words.first[text[first]]).astype(np.int32))],
-                    names=["window", "row", "doc_id", "word"],
-                )
-
-    return joined.select("__row", "doc_id", "text", "seeds").mapInArrow(run, "window long, row long, doc_id long, word int")
-
-
-def stretches(at: Column) -> Column:
-    """Sorted windows, the first of each run of neighbours with its length n."""
-    follows = lambda a, b: (b["word"] == a["word"] + 1) & (b["kept_word"] == a["kept_word"] + 1) & (b["kept_row"] == a["kept_row"])
-
-    def runs(w: Column) -> Column:
-        first = F.filter(w, lambda x, i: (i == 0) | ~follows(w[F.greatest(i - 1, F.lit(0))], x))
-        last = F.filter(w, lambda x, i: (i == F.size(w) - 1) | ~follows(x, w[F.least(i + 1, F.size(w) - 1)]))
-        return F.zip_with(first, last, lambda a, b: F.struct(a["word"].alias("word"), (b["word"] - a["word"] + 1).alias("n"), a["kept_doc_id"].alias("kept_doc_id"), a["kept_row"].alias("kept_row"), a["kept_word"].alias("kept_word")))
-
-    return F.transform(F.array(at), runs)[0]
-
-
-def repeated_passages(docs: DataFrame) -> DataFrame:
-    """row, windows (word, n, kept_doc_id, kept_row, kept_word, for n in a row; of copies one of word -1) of every row with words to be cut. docs has __row."""
-    texts = materialise(seeds(docs), "texts")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")
-    unique = materialise(texts.groupBy("name").agg(F.min(place).alias("first"), F.any_value("seeds").alias("seeds")), "unique")
-    marks = materialise(unique.select("name", "first.row", "first.doc_id", F.explode(F.array_distinct("seeds")).alias("seed")), "marks")
-    often = materialise(marks.groupBy("seed").agg(F.min("name").alias("a"), F.max("name").alias("b")).filter("a != b").select("seed"), "often")
-    wanted = materialise(marks.join(often, "seed").groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.collect_set("seed").alias("seeds")), "wanted")
-    found = materialise(windows(docs, wanted), "windows")
-    firsts = found.groupBy("window").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word")).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b"))
-    firsts = materialise(firsts.filter("a != b").select("window", "kept"), "firsts")
-    again = found.join(firsts, "window").filter("row != kept.row").select("row", F.struct("word", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.row").alias("kept_row"), F.col("kept.word").alias("kept_word")).alias("at"))
-    copies = texts.select("name", "row").join(unique.select("name", "first"), "name").filter("row != first.row")
-    copies = copies.select("row", F.struct(F.lit(-1).alias("word"), F.col("first.doc_id").alias("kept_doc_id"), F.col("first.row").alias("kept_row"), F.lit(-1).alias("kept_word")).alias("at"))
-    out = materialise(again.union(copies).groupBy("row").agg(stretches(F.array_sort(F.collect_set("at"))).alias("windows")), "passages")
-    for old in (texts, unique, marks, often, wanted, found, firsts):
-        discard(old)
-    return out
+SPANS = "array<struct<word:int,n:int,kept_doc_id:long,kept_word:int>>"
 
 
-def rid_of(text: bytes, gone: np.ndarray, window: np.ndarray, kept_id: list, kept_row: np.ndarray, kept_word: np.ndarray) -> tuple[bytes, list[dict]]:
-    """The text without the lines gone and the windows' words, and the stretches of words cut outside those lines."""
+def rid_of(text: bytes, begin: list[int], count: list[int]) -> bytes:
+    """The text without the words from each begin on; lines that lose all their words go."""
     data = np.frombuffer(text, np.uint8)
     words = words_of(data, np.array([0, len(data)]), lower=False)
     ink = np.concatenate([[0], np.cumsum(~PUNCTUATION[data])])
+    # The words that are counted have something besides punctuation.
     own = np.flatnonzero(ink[words.ends] > ink[words.starts])
-    starts, ends = words.starts[own], words.ends[own]
+    cut = np.zeros(len(own) + 1, np.int64)
+    np.add.at(cut, begin, 1)
+    np.add.at(cut, np.add(begin, count), -1)
+    cut = np.cumsum(cut[:-1]) > 0
     breaks = np.flatnonzero(data == 10)
-    number = np.arange(len(own))
-    if len(window) and window[0] < 0:
-        source, shift, cut = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.ones(len(own), bool)
-    elif len(window):
-        source = np.minimum(np.searchsorted(window, number - PASSAGE + 1), len(window) - 1)
-        shift, cut = (kept_word - window)[source], (window[source] <= number) & (number < window[source] + PASSAGE)
-    else:
-        source, shift, cut = np.zeros(len(own), np.int64), np.zeros(len(own), np.int64), np.zeros(len(own), bool)
-    line = np.searchsorted(breaks, starts)
-    cut &= ~np.isin(line, gone)
-    spans, stay, touched = [], np.ones(len(data) + 1, bool), set()
-    at = np.flatnonzero(cut)
-    if len(at):
-        row = kept_row[source]
-        new = np.concatenate([[True], (at[1:] != at[:-1] + 1) | (row[at[1:]] != row[at[:-1]]) | (shift[at[1:]] != shift[at[:-1]])])
-        for a, b in zip(at[new], np.append(at[:-1][new[1:]], at[-1])):
-            spans.append({"word": int(a), "n_words": int(b - a + 1), "kept_doc_id": kept_id[source[a]], "kept_word": int(a + shift[a])})
-        apart = np.concatenate([[True], at[1:] != at[:-1] + 1])
-        after = np.append(words.starts, len(data))
-        for a, b in zip(at[apart], np.append(at[:-1][apart[1:]], at[-1])):
-            to, end = after[own[b] + 1], np.searchsorted(breaks, ends[b])
-            stay[starts[a] : min(to, breaks[end]) if end < len(breaks) else to] = False
-        touched = set(np.unique(line[at]).tolist())
+    stay, after = np.ones(len(data) + 1, bool), np.append(words.starts, len(data))
+    edges = np.flatnonzero(np.diff(np.concatenate([[False], cut, [False]]).astype(np.int8)))
+    for a, b in zip(edges[::2], edges[1::2] - 1):
+        # To the next word, but not beyond the end of the last word's line.
+        to, end = after[own[b] + 1], np.searchsorted(breaks, words.ends[own[b]])
+        stay[words.starts[own[a]] : min(to, breaks[end]) if end < len(breaks) else to] = False
     stay[breaks] = True
-    begins, stops = np.concatenate([[0], breaks + 1]), np.append(breaks, len(data))
-    gone, kept = set(gone.tolist()), []
+    touched = set(np.searchsorted(breaks, words.starts[own[cut]]).tolist())
+    begins, stops, kept = np.concatenate([[0], breaks + 1]), np.append(breaks, len(data)), []
     for k, (a, b) in enumerate(zip(begins.tolist(), stops.tolist())):
-        if k in gone:
-            continue
         piece = data[a:b]
         if k in touched:
             piece = piece[stay[a:b]]
             if not (~IS_SPACE[piece] & ~PUNCTUATION[piece]).any():
                 continue
         kept.append(piece.tobytes())
-    return b"\n".join(kept), spans
+    return b"\n".join(kept)
 
 
-CUTS, SPANS = "array<struct<line:int,kept_doc_id:long,kept_line:int>>", "array<struct<word:int,n_words:int,kept_doc_id:long,kept_word:int>>"
-
-
-def cut_texts(docs: DataFrame, lists: DataFrame) -> DataFrame:
-    """row, kept (text), cuts, spans of the rows in lists (row, cuts, windows); docs has __row."""
-    span = pa.struct([("word", pa.int32()), ("n_words", pa.int32()), ("kept_doc_id", pa.int64()), ("kept_word", pa.int32())])
+def without_repeats(docs: DataFrame, spans: str = "spans") -> DataFrame:
+    """docs with text rid of its repeats, and in a column named spans the stretches of words cut, null if there are none."""
+    row = free_name([*docs.columns, spans], "__row")
+    marked = materialise(docs.withColumn(row, F.monotonically_increasing_id()), "documents")
+    found = repeats(marked.select("doc_id", "text", F.col(row).alias("__row")))
+    joined = marked.join(found.select(F.col("row").alias(row), F.col("spans").alias(spans)), row, "left").drop(row)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (b.slice(at, 256) for b in batches for at in range(0, len(b), 256)):
-            texts, spans = [], []
-            gone, found = batch.column("gone"), batch.column("windows")
-            for k, text in enumerate(batch.column("text")):
-                parts = found[k].values
-                field = lambda n, t: (parts.field(n).to_numpy(zero_copy_only=False) if len(parts) else np.zeros(0)).astype(t)  # noqa: B023, E731
-                ids, n = parts.field("kept_doc_id").to_pylist() if len(parts) else [], field("n", np.int64)
-                run = np.repeat(np.arange(len(n)), n)
-                step = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-                text, cut = rid_of(text.as_py().encode(), gone[k].values.to_numpy(zero_copy_only=False).astype(np.int64), field("word", np.int64)[run] + step, [ids[r] for r in run], field("kept_row", np.int64)[run], field("kept_word", np.int64)[run] + step)
-                texts.append(text.decode())
-                spans.append(cut)
-            yield pa.RecordBatch.from_arrays([batch.column("__row"), pa.array(texts, pa.string()), batch.column("cuts"), pa.array(spans, pa.list_(span))], names=["row", "kept", "cuts", "spans"])
-            pa.default_memory_pool().release_unused()
-
-    none = F.expr("cast(array() as array<struct<word:int,n:int,kept_doc_id:long,kept_row:long,kept_word:int>>)")
-    lists = lists.select(F.col("row").alias("__row"), F.coalesce("cuts", F.expr(f"cast(array() as {CUTS})")).alias("cuts"), F.coalesce("windows", none).alias("windows"))
-    joined = docs.select("__row", "text").join(lists, "__row").withColumn("gone", F.transform("cuts", lambda c: c["line"]))
-    return joined.mapInArrow(run, f"row long, kept string, cuts {CUTS}, spans {SPANS}").dropDuplicates(["row"])
-
-
-def removals(docs: DataFrame) -> DataFrame:
-    """row, line, kept (row, doc_id, line): every line of the occurrences to be cut, and the first of the one that stays. docs has __row."""
-    found = materialise(paragraphs(docs), "paragraphs")
-    members = met_in(found.select("name", F.explode("bands").alias("band")), "members")
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "line")).alias("first")
-    unique = materialise(found.groupBy("name").agg(first), "names")
-    wanted = members.select("name").distinct().join(unique, "name").select(F.col("first.row").alias("row"), "name")
-    sets = materialise(shingle_sets(docs, wanted), "shingles")
-    links = [materialise(verified(star(members), sets), "links")]
-    roots = connected_components(links[0])
-    # What is apart in a bucket meets again in finer bands, first with representatives, then, if still apart, pair by pair.
-    mixed = apart(members, roots, "mixed")
-    again = materialise(mixed.select("name", "root").distinct(), "again")
-    fine = materialise(finer(sets.join(again, "name", "left_semi")), "fine")
-    close = met_in(fine.select("name", F.explode("bands").alias("band")), "close")
-    links.append(materialise(verified(star(close), sets), "links"))
-    roots = connected_components(links[0].union(links[1]))
-    rest = apart(close, roots, "rest")
-    rest = materialise(rest.join(fine.select("name", "sketch", "size"), "name").join(sets, "name"), "rest")
-    a, b = rest.alias("a"), rest.alias("b")
-    # Pairs are verified within the join: only links come out of it.
-    pairs = a.join(b, (F.col("a.band") == F.col("b.band")) & (F.col("a.root") < F.col("b.root")) & alike("a", "b") & similar(F.col("a.grams"), F.col("b.grams")))
-    links.append(materialise(pairs.select(F.least("a.name", "b.name").alias("u"), F.greatest("a.name", "b.name").alias("v")).distinct(), "links"))
-    if not links[2].isEmpty():
-        roots = connected_components(links[0].union(links[1]).union(links[2]))
-    roots = materialise(roots.withColumnRenamed("node", "name"), "roots")
-    grouped = materialise(unique.join(roots, "name", "left").withColumn("root", F.coalesce("root", "name")), "grouped")
-    stays = materialise(grouped.groupBy("root").agg(F.min("first").alias("kept")), "stays")
-    kept = materialise(grouped.join(stays, "root").select("name", "kept"), "kept")
-    cut = found.select("row", "line", "lines", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("line") != F.col("kept.line")))
-    line = F.explode(F.sequence("line", F.col("line") + F.col("lines") - 1)).alias("line")
-    out = materialise(cut.select("row", line, "kept.doc_id", F.col("kept.row").alias("kept_row"), F.col("kept.line").alias("kept_line")), "removals")
-    for old in (found, members, unique, sets, *links, mixed, again, fine, close, rest, roots, grouped, stays, kept):
-        discard(old)
-    return out
-
-
-def without_repeats(docs: DataFrame, cuts: str = "cuts", spans: str = "spans") -> DataFrame:
-    """docs with text rid of its repeats; in a column named cuts line, and doc_id and line of what stays, of paragraphs; in one named spans the words cut besides."""
-    row, kept = free_name(docs.columns, "__row"), free_name(docs.columns, "__kept")
-    marked = docs.withColumn(row, row_hash(docs))
-    own = marked.select("doc_id", "text", F.col(row).alias("__row"))
-    found = removals(own).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("line", F.col("doc_id").alias("kept_doc_id"), "kept_line"))).alias("cuts"))
-    lists = materialise(found.join(repeated_passages(own), "row", "full"), "lists")
-    made = materialise(cut_texts(own, lists), "texts")
-    discard(lists)
-    joined = marked.join(made.select(F.col("row").alias(row), F.col("kept").alias(kept), F.col("cuts").alias(cuts), F.col("spans").alias(spans)), row, "left")
-    return joined.withColumn("text", F.coalesce(kept, "text")).drop(row, kept)
+        for batch in (b.slice(at, 1024) for b in batches for at in range(0, len(b), 1024)):
+            column = batch.schema.get_field_index("text")
+            cut, texts = batch.column(batch.schema.get_field_index(spans)), batch.column(column)
+            hit = np.flatnonzero(cut.is_valid().to_numpy(zero_copy_only=False))
+            if len(hit):
+                new = []
+                for k in hit.tolist():
+                    own = cut[k].values
+                    new.append(rid_of(texts[k].as_py().encode(), own.field("word").to_pylist(), own.field("n").to_pylist()).decode())
+                mask = np.zeros(len(batch), bool)
+                mask[hit] = True
+                batch = batch.set_column(column, batch.schema.field(column), pc.replace_with_mask(texts, pa.array(mask), pa.array(new, texts.type)))
+            yield batch
+        release()
+
+    return joined.mapInArrow(run, joined.schema)
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of docs without their repeated paragraphs; n_chars, if it is there, counts what stays."""
-    return recounted(without_repeats(docs, free_name(docs.columns, "cuts"), free_name(docs.columns, "spans")).select(*docs.columns))
+    return recounted(without_repeats(docs, free_name(docs.columns, "spans")).select(*docs.columns))
 
 
 def recounted(docs: DataFrame) -> DataFrame:
@@ -472,7 +523,7 @@ def recounted(docs: DataFrame) -> DataFrame:
 
 
 def dedup_report(docs: DataFrame) -> DataFrame:
-    """doc_id, n_cut, cuts, spans and the text that stays, of every row; n_cut counts cuts and spans."""
+    """doc_id, n_cut, spans (words cut, without punctuation, from 0, and where they stay) and the text that stays, of every row."""
     rows = without_repeats(docs.select("doc_id", "text"))
-    cuts, spans = F.coalesce("cuts", F.expr(f"cast(array() as {CUTS})")), F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))
-    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), (F.size(cuts) + F.size(spans)).cast("long").alias("n_cut"), cuts.alias("cuts"), spans.alias("spans"), "text")
+    spans = F.coalesce("spans", F.expr(f"cast(array() as {SPANS})"))
+    return rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.size(spans).cast("long").alias("n_cut"), spans.alias("spans"), "text")

@@ -139,34 +139,83 @@ def test_trie_walk_is_exact():
     assert links == want
 
 
+def paragraphs_in(t):
+    """First word and words of each line, or run of shorter lines, of PASSAGE words or more."""
+    found, at, held = [], 0, []
+    for line in [*(t or "").split("\n"), ""]:
+        words = bare(line)
+        if held and not 0 < len(words) < substring_dedup.PASSAGE:
+            found.append((at - len(held), held))
+            held = []
+        if len(words) >= substring_dedup.PASSAGE:
+            found.append((at, words))
+        elif words:
+            held = held + words
+        at += len(words)
+    return [(a, tuple(w)) for a, w in found if len(w) >= substring_dedup.PASSAGE]
+
+
 def test_substring_dedup(docs, spark):
-    where, sets = collections.defaultdict(list), {}
-    for i, t in texts():
-        for k, line in enumerate((t or "").split("\n")):
-            words = bare(line)
-            if len(words) >= substring_dedup.LEAST_WORDS:
-                where[tuple(words)].append(((i is None, i or 0), k))
-                sets[tuple(words)] = {tuple(words[j : j + 5]) for j in range(len(words) - 4)}
+    rows = sorted(texts(), key=lambda r: (r[0] is None, r[0] or 0))
+    where, sets, windows = collections.defaultdict(list), {}, {}
+    for n, (_, t) in enumerate(rows):
+        for at, words in paragraphs_in(t):
+            where[words].append((n, at))
+            sets[words] = {words[j : j + 5] for j in range(len(words) - 4)}
+        words = bare(t or "")
+        for k in range(len(words) - 49):
+            windows.setdefault(tuple(words[k : k + 50]), n)
     near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
     root = components(sorted(sets), near)
-    groups = collections.defaultdict(list)
+    groups, cut = collections.defaultdict(list), collections.defaultdict(set)
     for words, places in where.items():
-        groups[root[words]] += places
-    cut = {p for places in groups.values() for p in places if p != min(places)}
+        groups[root[words]] += [(n, at, len(words)) for n, at in places]
+    for places in groups.values():
+        for n, at, size in sorted(places)[1:]:
+            cut[n] |= set(range(at, at + size))
+    for n, (_, t) in enumerate(rows):
+        words = bare(t or "")
+        for k in range(len(words) - 49):
+            if windows[tuple(words[k : k + 50])] != n:
+                cut[n] |= set(range(k, k + 50))
+    left = collections.Counter((i, " ".join(w for k, w in enumerate(bare(t or "")) if k not in cut[n])) for n, (i, t) in enumerate(rows))
     got = rows_of(substring_dedup.dedup_report(docs))
+    assert collections.Counter((r["doc_id"], " ".join(bare(r["text"] or ""))) for r in got) == left
     by_id = dict(texts())
-    for r in got:
-        if r["doc_id"] is None or r["doc_id"] == 500:
-            continue  # several rows share these ids
-        gone = {k for p, k in cut if p == (False, r["doc_id"])}
-        assert {c["line"] for c in r["cuts"]} == gone
-        t = by_id[r["doc_id"]]
-        assert r["text"] == (t if not gone else "\n".join(x for k, x in enumerate(t.split("\n")) if k not in gone))
-    assert len(got) == len(texts()) and len([r for r in got if "p10 p11" in (r["text"] or "")]) == 1
+    assert all(r["text"] == by_id[r["doc_id"]] for r in got if not r["n_cut"] and r["doc_id"] not in (None, 500))
+    assert len([r for r in got if "p10 p11" in (r["text"] or "")]) == 1
     stage = corpus_pipeline.paragraph_dedup(spark, docs, "")
     assert stage.columns == docs.columns and all(r["n_chars"] == len(r["text"]) for r in rows_of(stage.filter("text is not null")))
 
 
+def test_substring_dedup_of_equal_rows(spark):
+    rng = random.Random(5)
+    text = " ".join(f"e{rng.randrange(10**9)}" for _ in range(55))
+    for i in (7, None):
+        df = spark.createDataFrame([(i, text)] * 5 + [(8, "other")], "doc_id long, text string").repartition(3)
+        assert sorted(r["text"] for r in rows_of(substring_dedup.deduplicated(df))) == ["", "", "", "", text, "other"] or i is None
+        assert sum(r["text"] == text for r in rows_of(substring_dedup.deduplicated(df))) == 1
+
+
+def test_substring_dedup_of_a_long_text_and_clashing_names(spark):
+    rng = random.Random(6)
+    words = [f"l{rng.randrange(10**9)}" for _ in range(60000)]
+    rows = [(1, " ".join(words), "a", "b"), (2, "start\n" + " ".join(words[20000:59999]), "a", "b")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, spans string, __row string")
+    got = {r["doc_id"]: r for r in rows_of(substring_dedup.deduplicated(df))}
+    assert got[1]["text"] == rows[0][1] and got[2]["text"] == "start" and got[2]["spans"] == "a" and got[2]["__row"] == "b"
+
+
+def test_substring_dedup_beyond_the_first_occurrence(spark):
+    rng = random.Random(8)
+    new = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    core, left, right = new(32), new(30), new(30)
+    rows = [(1, new(60) + core + new(60)), (2, new(70) + left + core + right + new(60)), (3, new(90) + left + core + right + new(60)), (4, new(80) + core + new(70))]
+    got = {r["doc_id"]: r for r in rows_of(substring_dedup.dedup_report(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string")))}
+    assert [got[i]["n_cut"] > 0 for i in (1, 2, 3, 4)] == [False, False, True, False]
+    assert set(got[3]["text"].split()) & set(core) == set()
+
+
 def test_decontamination(docs, spark):
     item = "bench mark item number one has exactly these words in this order for all to see"
     bench = spark.createDataFrame([(1, item), (2, None), (3, ""), (4, "one two three"), (None, "absent words only here")], "item_id long, text string")
@@ -312,7 +361,7 @@ def test_substring_dedup_of_wrapped_lines(spark):
     got = {r["doc_id"]: r for r in rows_of(substring_dedup.dedup_report(spark.createDataFrame(rows, "doc_id long, text string")))}
     by_id = dict(rows)
     assert got[1]["text"] == by_id[1] and got[4]["text"] == by_id[4] and got[1]["n_cut"] == got[4]["n_cut"] == 0
-    assert [(c["line"], c["kept_doc_id"], c["kept_line"]) for c in got[2]["cuts"]] == [(k, 1, 3) for k in range(2, 9)]
+    assert {(c["word"], c["n"], c["kept_doc_id"], c["kept_word"]) for c in got[2]["spans"]} == {(1, 70, 1, 60)}
     assert got[2]["text"] == by_id[2].replace(wrapped + "\n", "") and got[3]["text"] == "\nnotes"
 
 
@@ -335,11 +384,10 @@ def test_passages_wherever_they_stand(spark):
         words = bare(t)
         cut = {k + j for k in range(len(words) - 49) if first[tuple(words[k : k + 50])][0] != i for j in range(50)}
         assert bare(got[i]["text"]) == [w for k, w in enumerate(words) if k not in cut], i
-        if not got[i]["cuts"]:
-            assert {s["word"] + j for s in got[i]["spans"] for j in range(s["n_words"])} == cut
-        assert got[i]["n_cut"] == len(got[i]["cuts"]) + len(got[i]["spans"]) and (got[i]["n_cut"] > 0) == bool(cut)
+        assert {s["word"] + j for s in got[i]["spans"] for j in range(s["n"])} == cut
+        assert got[i]["n_cut"] == len(got[i]["spans"]) and (got[i]["n_cut"] > 0) == bool(cut)
         for s in got[i]["spans"]:
-            assert bare(dict(rows)[s["kept_doc_id"]])[s["kept_word"] :][: s["n_words"]] == words[s["word"] :][: s["n_words"]]
+            assert bare(dict(rows)[s["kept_doc_id"]])[s["kept_word"] :][: s["n"]] == words[s["word"] :][: s["n"]]
     assert all(got[i]["n_cut"] for i in (2, 3, 5, 9, 10, None)) and not got[7]["n_cut"]
 
 
