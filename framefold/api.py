@@ -12,10 +12,10 @@ from .sources import files
 
 
 class Engine:
-    """A configured processor. open() before use, or a with statement."""
+    """A configured processor. open() before use, or a with statement. loud is the level that scores 1."""
 
-    def __init__(self, spark: SparkSession, config: Config | None = None) -> None:
-        self.spark, self.config, self.is_open = spark, config or Config(), False
+    def __init__(self, spark: SparkSession, config: Config | None = None, loud: float = 0.1) -> None:
+        self.spark, self.config, self.loud, self.is_open = spark, config or Config(), loud, False
 
     def open(self) -> Engine:
         self.is_open = True
@@ -34,10 +34,12 @@ class Engine:
         """Results (schemas.RESULT) of aligned frames."""
         if not self.is_open:
             raise StateError("the engine is not open")
-        scored = scoring.energy_score(frames)
+        # Scores alone go through the windows; audio meets its frame's role once, at the end.
+        scored = scoring.energy_score(frames, loud=self.loud).select("stream_id", "frame_id", "score")
         marked = scoring.hysteresis_markers(scored, "stream_id", "frame_id", "score", self.config.vad_threshold, 0.15, scoring.silence_frames(self.config.min_silence_duration_ms))
-        roles = segments.with_roles(marked, ["stream_id"])
-        return segments.results(roles, segments.segments(roles, ["stream_id"], audio="audio_data"))
+        roles = segments.in_results(segments.with_roles(marked, ["stream_id"]), ["stream_id"]).select("stream_id", "frame_id", "role", "segment_id")
+        found = frames.join(roles, ["stream_id", "frame_id"])
+        return segments.results(found, segments.segments(found, ["stream_id"], audio="audio_data"))
 
     def from_files(self, path: str) -> DataFrame:
         """Results of every WAV file below a path."""
@@ -62,7 +64,7 @@ class Engine:
         if not self.is_open:
             raise StateError("the engine is not open")
         fold.enable(self.spark)
-        return fold.results(chunks, fold.EnergyMarks(self.config.vad_threshold, 0.15, self.config.min_silence_duration_ms))
+        return fold.results(chunks, fold.EnergyMarks(self.config.vad_threshold, 0.15, self.config.min_silence_duration_ms, self.loud))
 
 
 def process_file(spark: SparkSession, path: str, **options: object) -> DataFrame:

@@ -1,9 +1,11 @@
-"""Sample encodings as Spark expressions; arrays in, arrays out."""
+"""Sample encodings as Spark expressions; arrays in, arrays out. Binaries are decoded in Arrow batches by numpy."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,20 +22,47 @@ def indices(n: Column) -> Column:
     return F.when(n > 0, F.sequence(F.lit(0), F.greatest(n, F.lit(1)).cast("int") - 1)).otherwise(F.expr("cast(array() as array<int>)"))
 
 
+def samples_of(data: pa.Array) -> Iterator[np.ndarray]:
+    """The signed 16-bit little-endian samples of each binary, none of null; an odd last byte is left out."""
+    data = data.cast(pa.large_binary())
+    _, offsets, values = data.buffers()
+    offsets = np.frombuffer(offsets, np.int64, len(data) + 1, data.offset * 8) if len(data) else np.zeros(1, np.int64)
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        yield np.frombuffer(values, "<i2", (b - a) // 2, a) if b - a > 1 else np.zeros(0, "<i2")
+
+
+def as_lists(parts: list[np.ndarray], like: pa.Array, kind: type) -> pa.Array:
+    ends = np.cumsum([len(x) for x in parts]) if parts else np.zeros(0, np.int64)
+    flat = np.concatenate(parts).astype(kind) if parts else np.zeros(0, kind)
+    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), pa.array(flat), mask=like.is_null())
+
+
 def pcm16_to_ints(data: Column) -> Column:
     """Signed 16-bit little-endian samples of a binary; an odd last byte is left out."""
 
-    def sample(digits: Column, k: Column) -> Column:
-        low, high = F.substring(digits, 4 * k + 1, F.lit(2)), F.substring(digits, 4 * k + 3, F.lit(2))
-        value = F.conv(F.concat(high, low), 16, 10).cast("int")
-        return F.when(value >= 32768, value - 65536).otherwise(value)
+    def decode(data: pa.Array) -> pa.Array:
+        return as_lists(list(samples_of(data)), data, np.int32)
 
-    return let(F.hex(data), lambda digits: F.transform(indices(F.floor(F.length(digits) / 4)), lambda k: sample(digits, k)))
+    return F.arrow_udf(decode, "array<int>")(data)
 
 
 def pcm16_to_float(data: Column) -> Column:
     """Samples of a binary as floats within [-1, 1)."""
-    return int16_to_float(pcm16_to_ints(data))
+
+    def decode(data: pa.Array) -> pa.Array:
+        return as_lists([x / np.float32(32768) for x in samples_of(data)], data, np.float32)
+
+    return F.arrow_udf(decode, "array<float>")(data)
+
+
+def pcm16_rms(data: Column) -> Column:
+    """rms of the samples of a binary as floats: what rms(pcm16_to_float(data)) is, without an array for each row."""
+
+    def level(data: pa.Array) -> pa.Array:
+        squares = (np.square(x / 32768.0) for x in samples_of(data))
+        return pa.array([float(np.sqrt(x.mean())) if len(x) else 0.0 for x in squares], pa.float64())
+
+    return F.arrow_udf(level, "double")(data)
 
 
 def int16_to_float(samples: Column) -> Column:

@@ -29,8 +29,9 @@ def aligned(chunks: DataFrame, size: int = FRAME_BYTES) -> DataFrame:
     """stream_id, frame_id (from 1), audio_data, timestamp_ms, sample_rate, frame_size of chunks (stream_id, seq, data).
 
     Chunks of any size: a running sum of lengths gives each byte its place, and
-    only the parts of a frame meet, so a long stream is never one value. Pushes
-    beyond a buffer's cap are a matter of the streaming operator or of
+    only frames that several chunks share are put together from their parts;
+    others are cut out of their chunk where it is. So a long stream is never
+    one value, and audio is shuffled once at most, to meet its place. Pushes beyond a buffer's cap are a matter of the streaming operator or of
     kept_tail; here nothing is dropped.
     """
     order = Window.partitionBy("stream_id").orderBy("seq")
@@ -39,10 +40,12 @@ def aligned(chunks: DataFrame, size: int = FRAME_BYTES) -> DataFrame:
     parts = rows.drop("n").join(lengths, ["stream_id", "seq"]).withColumn("frame", F.explode(F.sequence(F.expr(f"at div {size}"), F.expr(f"(at + n - 1) div {size}"))))
     start = F.greatest(F.col("frame") * size - F.col("at"), F.lit(0))
     end = F.least((F.col("frame") + 1) * size - F.col("at"), F.col("n"))
-    pieces = parts.select("stream_id", "frame", "seq", F.substring("data", (start + 1).cast("int"), (end - start).cast("int")).alias("piece"))
-    whole = pieces.groupBy("stream_id", "frame").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
+    piece = F.substring("data", (start + 1).cast("int"), (end - start).cast("int"))
+    whole = parts.filter(end - start == size).select("stream_id", (F.col("frame") + 1).alias("frame_id"), piece.alias("audio_data"))
+    shared = parts.filter(end - start < size).select("stream_id", "frame", "seq", piece.alias("piece")).groupBy("stream_id", "frame").agg(F.sort_array(F.collect_list(F.struct("seq", "piece"))).alias("p"))
     audio = F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["piece"]))
-    rows = whole.select("stream_id", (F.col("frame") + 1).alias("frame_id"), audio.alias("audio_data")).filter(F.length("audio_data") == size)
+    put_together = shared.select("stream_id", (F.col("frame") + 1).alias("frame_id"), audio.alias("audio_data")).filter(F.length("audio_data") == size)
+    rows = whole.union(put_together)
     return rows.select("stream_id", "frame_id", "audio_data", timestamp(F.col("frame_id")).alias("timestamp_ms"), F.lit(SAMPLE_RATE).alias("sample_rate"), F.lit(FRAME_SAMPLES).alias("frame_size"))
 
 

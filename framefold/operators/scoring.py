@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..config import BackendConfig, ONNXConfig
 from ..errors import BackendUnavailable, ModelError, StreamError
-from ..functions.codecs import pcm16_to_float, rms
+from ..functions.codecs import pcm16_rms
 
 #: A scorer: rows of one stream in order, in blocks, to one probability each. State is its own.
 Scorer = Callable[[Iterator[pd.DataFrame]], Iterator[pd.Series]]
@@ -51,7 +51,7 @@ def hysteresis_markers(frames: DataFrame, key: str, order: str, score: str, thre
 
 def energy_score(frames: DataFrame, audio: str = "audio_data", loud: float = 0.1) -> DataFrame:
     """frames with score: root mean square of the samples over loud, 1 at most."""
-    return frames.withColumn("score", F.least(rms(pcm16_to_float(F.col(audio))) / F.lit(loud), F.lit(1.0)))
+    return frames.withColumn("score", F.least(pcm16_rms(F.col(audio)) / F.lit(loud), F.lit(1.0)))
 
 
 def model_score(frames: DataFrame, scorer: Scorer, key: str = "stream_id", order: str = "frame_id") -> DataFrame:

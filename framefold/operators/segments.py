@@ -60,6 +60,13 @@ def segments_audio(found: DataFrame, frames: DataFrame, roles: DataFrame, key: S
     return found.join(parts.groupBy(*key, "segment_id").agg(audio.alias("audio_data")), [*key, "segment_id"])
 
 
+def in_results(roles: DataFrame, key: Sequence[str]) -> DataFrame:
+    """Of roles, the frames that results hold: single ones and those of closed segments."""
+    ends = F.max((F.col("role") == "close").cast("int")).over(Window.partitionBy(*key, "segment_id"))
+    inside = F.col("role").isin("open", "mid", "close") & (F.col("segment_id") > 0) & (F.col("__ends") == 1)
+    return roles.withColumn("__ends", ends).filter((F.col("role") == "frame") | inside).drop("__ends")
+
+
 def duration(start: Column, end: Column) -> Column:
     """end - start, a frame less than the audio; 0.0 of nothing."""
     return F.coalesce(end - start, F.lit(0.0))

@@ -33,12 +33,12 @@ def processor_stats(results: DataFrame, chunks: DataFrame, keys: Sequence[str] =
     )
 
 
-def latency(rows: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = True) -> DataFrame:
-    """Mean, percentiles and maximum; percentiles are of a mergeable sketch unless exact."""
+def latency(rows: DataFrame, value: str, keys: Sequence[str] = (), exact: bool = False) -> DataFrame:
+    """Mean, percentiles, bounds and rate; percentiles are of a mergeable sketch unless exact, which holds all distinct values of a key in one task."""
     wanted = [0.5, 0.95, 0.99]
     cuts = F.percentile(value, F.array(*map(F.lit, wanted))) if exact else F.percentile_approx(value, wanted, 10000)
-    found = rows.groupBy(*keys).agg(F.avg(value).alias("avg_latency_ms"), cuts.alias("p"), F.max(value).alias("max_latency_ms"), F.count(value).alias("success_count"))
-    return found.select(*keys, "avg_latency_ms", *[F.col("p")[k].alias(f"p{n}_latency_ms") for k, n in enumerate((50, 95, 99))], "max_latency_ms", "success_count")
+    found = rows.groupBy(*keys).agg(F.avg(value).alias("avg_latency_ms"), cuts.alias("p"), F.max(value).alias("max_latency_ms"), F.min(value).alias("min_latency_ms"), ratio(F.lit(1000.0), F.avg(value)).alias("fps"), F.count(value).alias("success_count"))
+    return found.select(*keys, "avg_latency_ms", *[F.col("p")[k].alias(f"p{n}_latency_ms") for k, n in enumerate((50, 95, 99))], "max_latency_ms", "min_latency_ms", "fps", "success_count")
 
 
 def last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 100) -> DataFrame:

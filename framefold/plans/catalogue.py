@@ -13,6 +13,8 @@ from ..functions import codecs, text
 from ..operators import framing, scoring, segments, stats, validate
 
 START, END = 60.0, 35.0
+#: Sample size for each unit of an event's value.
+LOUDNESS = 65
 KEY = ["stream_id"]
 
 
@@ -87,12 +89,12 @@ def processor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = stats.latency(table(spark, sf_dir, "events"), "value", ["event_type"])
-    return found.select("event_type", "success_count", *[F.round(c, 6).alias(c) for c in ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms")])
+    found = stats.latency(table(spark, sf_dir, "events"), "value", ["event_type"], exact=True)
+    return found.select("event_type", "success_count", *[F.round(c, 6).alias(c) for c in ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms", "min_latency_ms", "fps")])
 
 
 def last_n_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.last_n(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value", 100)
+    rows = stats.last_n(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 100)
     return rows.select("event_id", F.round("ring_mean", 9).alias("ring_mean"), "ring_max", "ring_size")
 
 
@@ -118,11 +120,11 @@ def concurrency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.every_nth(table(spark, sf_dir, "events"), 50, ["event_type"], "event_id").select("event_type", "event_id")
+    return segments.every_nth(table(spark, sf_dir, "events"), 50, ["user_id"], "event_id").select("user_id", "event_id")
 
 
 def health_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = stats.latency(table(spark, sf_dir, "events"), "value", ["user_id"])
+    per = stats.latency(table(spark, sf_dir, "events"), "value", ["user_id"], exact=True)
     ok = stats.success(F.col("success_count"), F.pmod("user_id", F.lit(3)))
     rows = per.select("user_id", ok["total_operations"].alias("total_operations"), F.round(ok["success_rate"], 6).alias("success_rate"), "p99_latency_ms")
     return rows.select("user_id", "total_operations", "success_rate", stats.healthy(1 - F.col("success_rate"), F.col("total_operations") / 60, F.col("p99_latency_ms"), 0.05, 1.0, 200.0).alias("is_healthy"))
@@ -164,10 +166,30 @@ def hop_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pcm16_decode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = document_bytes(spark, sf_dir).select("stream_id", codecs.pcm16_to_float(F.substring("data", 1, 64)).alias("a"))
+    rows = document_bytes(spark, sf_dir).select("stream_id", codecs.pcm16_to_float(F.col("data")).alias("a"))
     return rows.select("stream_id", F.size("a").cast("long").alias("samples"), F.round(F.aggregate("a", F.lit(0.0), lambda s, x: s + x.cast("double")), 6).alias("total"))
 
 
+def event_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as pushes of 1024 bytes: a stream for each user, and 512 samples of one size, which the event's value sets."""
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("stream_id"), "ts", "event_id", F.floor(F.col("value") * LOUDNESS).cast("int").alias("size"))
+    number = F.row_number().over(Window.partitionBy("stream_id").orderBy("ts", "event_id")).cast("long") - 1
+    return rows.select("stream_id", number.alias("seq"), F.unhex(F.repeat(F.format_string("%02X%02X", F.col("size") % 256, F.shiftright("size", 8)), 512)).alias("data"))
+
+
+def byte_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole way from bytes to results, audio included."""
+    from ..api import Engine
+
+    with Engine(spark) as engine:
+        found = engine.from_chunks(event_chunks(spark, sf_dir))
+    one, many = F.col("frame"), F.col("segment")
+    return found.select(
+        "stream_id", "result_type", one["frame_id"].alias("frame_id"), many["segment_id"].alias("segment_id"), F.coalesce(one["timestamp_ms"], many["start_timestamp_ms"]).alias("start_ms"),
+        F.coalesce(one["timestamp_ms"], many["end_timestamp_ms"]).alias("end_ms"), F.coalesce(many["frame_count"].cast("long"), F.lit(1).cast("long")).alias("frames"), digest(F.coalesce(one["audio_data"], many["audio_data"])).alias("digest"),
+    )
+
+
 def float_to_pcm16(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = vectors(spark, sf_dir).select("vec_id", codecs.float_to_int16(F.col("embedding")).alias("a"))
     return rows.select("vec_id", F.aggregate("a", F.lit(0).cast("long"), lambda s, x: s + x).alias("total"), F.array_max("a").cast("long").alias("highest"), F.array_min("a").cast("long").alias("lowest"))
@@ -279,6 +301,7 @@ HYSTERESIS = """raw as (select user_id stream_id, least(value / 100, 1.0e0) scor
  en as (select *, min(case when score < 0.35e0 and frame_id - quiet >= 3 then frame_id end) over (partition by stream_id, island) ending from qt),
  bf as (select *, lag(ending) over (partition by stream_id order by frame_id) lastend from en),
  frames as (select stream_id, frame_id, case when score >= 0.5 and (island = 1 or lastend is not null) then 'start' when frame_id = ending then 'end' end marker from bf)"""
+LOUD = HYSTERESIS.replace("value / 100", f"floor(value * {LOUDNESS}) / 32768.0e0 / 0.1e0").replace("quiet >= 3", "quiet >= 4")
 SEGMENTS = ROLES + " select stream_id, segment_id, first_frame * 32.0e0 start_timestamp_ms, last_frame * 32.0e0 end_timestamp_ms, frame_count, (last_frame - first_frame) * 32.0e0 duration_ms from closed"
 BYTES = "with b as (select doc_id stream_id, encode(text) x, octet_length(encode(text)) n from documents)"
 CHUNK_ROWS = ", ".join(f"({r}, {ms}, {n})" for r, ns in framing.CHUNK_SAMPLES.items() for ms, n in zip(framing.CHUNK_MS, ns))
@@ -294,23 +317,27 @@ ORACLE = {
     "open_segments": ROLES + " select stream_id, segment_id, frame_count, first_frame from segs where not closed",
     "hysteresis_markers": f"with {HYSTERESIS} select stream_id, frame_id, marker from frames where marker is not null",
     "hysteresis_segments": f"with {roles_sql(HYSTERESIS)} select stream_id, segment_id, first_frame, last_frame, frame_count from closed",
+    "byte_results": f"""with {roles_sql(LOUD)}, size as (select user_id stream_id, floor(value * {LOUDNESS})::int v, row_number() over (partition by user_id order by ts, event_id) frame_id from events),
+ heard as (select r.*, repeat(printf('%02X%02X', v % 256, v // 256), 512) h from roles r join size s on r.stream_id = s.stream_id and r.frame_id = s.frame_id)
+ select stream_id, 'frame' result_type, frame_id, null::bigint segment_id, frame_id * 32.0e0 start_ms, frame_id * 32.0e0 end_ms, 1::bigint frames, md5(h) digest from heard where role = 'frame' union all
+ select h.stream_id, 'segment', null, h.segment_id, min(frame_id) * 32.0e0, max(frame_id) * 32.0e0, count(*), md5(string_agg(h, '' order by frame_id)) from heard h join closed c on h.stream_id = c.stream_id and h.segment_id = c.segment_id where role in ('open', 'mid', 'close') group by h.stream_id, h.segment_id""",
     "processor_stats": ROLES + """, made as (select stream_id, sum((kind = 's')::int)::bigint seg, sum((kind = 'f')::int)::bigint one from (select stream_id, 'f' kind from roles where role = 'frame' union all select stream_id, 's' from closed) group by 1),
  done as (select stream_id, sum((event_type <> 'error')::int)::bigint ok, coalesce(sum(case when event_type <> 'error' then round(score, 0) end), 0.0e0)::double total, sum((event_type = 'error')::int)::bigint err from frames group by 1)
  select d.stream_id, ok total_chunks_processed, round(total, 6) total_processing_time_ms, round(coalesce(total / nullif(ok, 0), 0.0e0), 6) average_processing_time_ms, coalesce(seg, 0)::bigint speech_segments, coalesce(one, 0)::bigint single_frames,
  round(coalesce(coalesce(seg, 0) / nullif(coalesce(seg, 0) + coalesce(one, 0), 0)::double, 0.0e0), 6) speech_ratio, round(coalesce(ok / nullif(total / 1000, 0), 0.0e0), 6) throughput_chunks_per_second, 80.0e0 memory_usage_mb, err error_count, round(coalesce(err / nullif(ok, 0)::double, 0.0e0), 6) error_rate from done d left join made m on d.stream_id = m.stream_id""",
-    "latency_percentiles": "select event_type, count(value) success_count, round(avg(value), 6) avg_latency_ms, round(quantile_cont(value, 0.5), 6) p50_latency_ms, round(quantile_cont(value, 0.95), 6) p95_latency_ms, round(quantile_cont(value, 0.99), 6) p99_latency_ms, round(max(value), 6) max_latency_ms from events group by 1",
-    "last_n_ring": "select event_id, round(avg(value) over w, 9) ring_mean, max(value) over w ring_max, count(value) over w ring_size from events window w as (partition by event_type order by ts, event_id rows between 99 preceding and current row)",
+    "latency_percentiles": "select event_type, count(value) success_count, round(avg(value), 6) avg_latency_ms, round(quantile_cont(value, 0.5), 6) p50_latency_ms, round(quantile_cont(value, 0.95), 6) p95_latency_ms, round(quantile_cont(value, 0.99), 6) p99_latency_ms, round(max(value), 6) max_latency_ms, round(min(value), 6) min_latency_ms, round(1000.0e0 / avg(value), 6) fps from events group by 1",
+    "last_n_ring": "select event_id, round(avg(value) over w, 9) ring_mean, max(value) over w ring_max, count(value) over w ring_size from events window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)",
     "best_worst_key": "with per as (select event_type, round(avg(value), 9) cost, count(*) gain from events group by 1) select (select event_type from per order by cost, event_type limit 1) least_cost, (select event_type from per order by gain desc, event_type limit 1) largest_gain",
     "spread_and_grade": "select *, case when n / 10.0e0 > 100 and mean_ms < 50 then 'excellent' when n / 10.0e0 > 50 and mean_ms < 100 then 'good' when n / 10.0e0 > 20 and mean_ms < 200 then 'fair' else 'poor' end grade from (select event_type, round(max(value) - min(value), 6) spread, max(value) - min(value) < 1000 is_even, count(*) n, round(avg(value), 6) mean_ms from events group by 1)",
     "isolation_check": "select event_type, count(distinct event_id) = count(event_id) distinct_events, count(distinct user_id) streams from events group by 1",
     "concurrency_rollup": ROLES + ", per as (select stream_id, sum((role = 'frame')::int)::bigint frames from roles group by 1) select stream_id % 7 group_id, sum(frames)::bigint total_frames, sum((frames > 0)::int)::bigint active_streams, round(sum((frames > 0)::int) / count(*)::double, 6) success_rate, round(avg(frames), 6) mean_frames from per group by 1",
-    "every_nth": "select event_type, event_id from (select *, row_number() over (partition by event_type order by event_id) k from events) where k % 50 = 0",
+    "every_nth": "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) k from events) where k % 50 = 0",
     "health_flag": "with per as (select user_id, count(value) + user_id % 3 total_operations, round(count(value) / (count(value) + user_id % 3)::double, 6) success_rate, quantile_cont(value, 0.99) p99 from events group by 1) select user_id, total_operations, success_rate, (1 - success_rate <= 0.05e0 and total_operations / 60.0e0 >= 1 and p99 <= 200) is_healthy from per",
     "frame_align_bytes": BYTES + ", f as (select stream_id, x, unnest(range(n // 1024)) i from b) select stream_id, i + 1 frame_id, (i + 1) * 32.0e0 timestamp_ms, md5(hex(array_slice(x, i * 1024 + 1, i * 1024 + 1024))) digest from f",
     "frame_gauges": BYTES + " select stream_id, n // 2 available_samples, n // 1024 available_frames, n % 1024 rest_bytes, n / 8000.0e0 usage_ratio from b",
     "overflow_keep_tail": BYTES + ", k as (select stream_id, case when n > 8000 then array_slice(x, n - 3999, n) else x end kept from b) select stream_id, octet_length(kept) kept_bytes, octet_length(kept) // 1024 frames, md5(hex(kept)) digest from k",
     "hop_frames": f"with v as ({VEC}), h as (select vec_id, a, unnest(range((len(a) - 4) // 16)) i from v) select vec_id, i hop, len(list_slice(a, i * 16 + 1, i * 16 + 20)) samples, round(list_sum(list_slice(a, i * 16 + 1, i * 16 + 20)), 5) total from h",
-    "pcm16_decode": BYTES + ", p as (select stream_id, hex(array_slice(x, 1, 64)) h from b), s as (select stream_id, list_transform(range(len(h) // 4), lambda k: ('0x' || substr(h, 4 * k + 3, 2) || substr(h, 4 * k + 1, 2))::int) a from p) select stream_id, len(a) samples, round(coalesce(list_sum(list_transform(a, lambda x: (case when x >= 32768 then x - 65536 else x end) / 32768.0e0)), 0.0e0), 6) total from s",
+    "pcm16_decode": BYTES + ", p as (select stream_id, hex(x) h from b), s as (select stream_id, list_transform(range(len(h) // 4), lambda k: ('0x' || substr(h, 4 * k + 3, 2) || substr(h, 4 * k + 1, 2))::int) a from p) select stream_id, len(a) samples, round(coalesce(list_sum(list_transform(a, lambda x: (case when x >= 32768 then x - 65536 else x end) / 32768.0e0)), 0.0e0), 6) total from s",
     "float_to_pcm16": "with v as (select vec_id, list_transform(embedding, lambda x: trunc(x::double * 32767.0e0)::bigint) a from embeddings) select vec_id, list_sum(a)::bigint total, list_max(a) highest, list_min(a) lowest from v",
     "alaw_decode": "with c as (select range code, (range >> 4) & 7 e, range & 15 m from range(256)) select code, (case when code & 128 <> 0 then -1 else 1 end) * (case when e = 0 then m << 4 else (m | 16) << (e + 3) end) / 32768.0e0 sample from c",
     "integer_decode": "with v as (select vec_id, list_transform(embedding, lambda x: trunc(x::double * 32767.0e0)::bigint) a from embeddings) select vec_id, round(list_sum(list_transform(a, lambda x: (x / 32768.0e0)::float::double)), 5) + 0.0e0 from_int16, round(list_sum(list_transform(a, lambda x: ((x * 65536)::float::double / 2147483648.0e0)::float::double)), 5) + 0.0e0 from_int32, round(list_sum(list_transform(a, lambda x: (floor(x / 256.0e0) / 127.0e0)::float::double)), 5) + 0.0e0 from_int8 from v",
@@ -332,7 +359,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "segments": segment_query, "stream_segments": streamed,
         **{f.__name__: f for f in (
-            frame_results, results_union, role_counts, dropped_frames, open_segments, hysteresis_markers, hysteresis_segments, processor_stats, latency_percentiles, last_n_ring, best_worst_key,
+            frame_results, results_union, byte_results, role_counts, dropped_frames, open_segments, hysteresis_markers, hysteresis_segments, processor_stats, latency_percentiles, last_n_ring, best_worst_key,
             spread_and_grade, isolation_check, concurrency_rollup, every_nth, health_flag, frame_align_bytes, frame_gauges, overflow_keep_tail, hop_frames, pcm16_decode, float_to_pcm16, alaw_decode,
             integer_decode, resample_linear, rms_level, base64_segment, format_timestamp, semver_parse, upsert_latest, validate_chunks, frame_size_table, chunk_times, model_output, longest_streams,
         )},

@@ -8,7 +8,6 @@ import pytest
 from framefold.plans import catalogue
 
 DATA = "/root/testdata/sf0.001"
-QUICK = ["segments", "results_union", "hysteresis_segments", "processor_stats", "frame_align_bytes", "overflow_keep_tail", "resample_linear", "validate_chunks", "stream_segments"]
 
 
 def plain(rows):
@@ -16,7 +15,7 @@ def plain(rows):
 
 
 @pytest.mark.skipif(not os.path.isdir(DATA), reason="no test tables")
-@pytest.mark.parametrize("name", QUICK)
+@pytest.mark.parametrize("name", sorted(catalogue.queries()))
 def test_query_equals_its_sql(spark, name):
     duckdb = pytest.importorskip("duckdb")
     con = duckdb.connect()
