@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .storage import materialise
+from .storage import exists, materialise, new_path
 
 SLOTS = 8192
 
@@ -62,33 +62,39 @@ def grow(slot_map: DataFrame, sizes: DataFrame) -> DataFrame:
     return rows.select((F.col("version") + 1).alias("version"), "virtual_slot", F.when(taken & (F.col("bytes") > 0), F.lit(shards)).otherwise(F.col("shard")).cast("int").alias("shard"))
 
 
-def save_map(slot_map: DataFrame, path: str) -> None:
-    """Add a version to the store; earlier versions stay readable."""
-    slot_map.coalesce(1).write.mode("append").partitionBy("version").parquet(path)
+def save_map(slot_map: DataFrame, path: str, version: int) -> None:
+    """Put a version into the store, in a folder of its own: written again it is the same, and earlier versions stay readable."""
+    slot_map.select("virtual_slot", "shard").coalesce(1).write.mode("overwrite").parquet(f"{path}/version={version}")
 
 
 def load_map(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
     """A version of the store, the latest by default."""
-    rows = spark.read.parquet(path)
+    rows = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
     version = version or rows.agg(F.max("version")).first()[0]
     return rows.filter(F.col("version") == version).select("version", "virtual_slot", "shard")
 
 
-def shard_report(docs: DataFrame, shards: int = 8, slots: int = SLOTS) -> DataFrame:
-    """Each row's shard under the law of near-equal bytes, and its gapless place in that shard.
+def shard_report(docs: DataFrame, shards: int = 8, slots: int = SLOTS, store: str | None = None) -> DataFrame:
+    """Each row's shard under the law of near-equal bytes, its gapless place in that shard, and the version of the map.
+
+    The map goes into the store as its next version (1 in a new store) and is read back from there.
 
     Places are numbered within each virtual slot, which hashing keeps small,
     and start where the shard's earlier slots end.
     """
     rows = materialise(slotted(docs, slots), "slotted")
     sizes = slot_sizes(rows, slots)
-    slot_map = materialise(assign(sizes, shards).join(sizes, "virtual_slot"), "slot-map")
+    known = store is not None and exists(docs.sparkSession, store)
+    store = store or new_path(docs.sparkSession, "slot-map")
+    version = load_map(docs.sparkSession, store).first().version + 1 if known else 1
+    save_map(assign(sizes, shards, version), store, version)
+    slot_map = load_map(docs.sparkSession, store, version).join(sizes, "virtual_slot")
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     starts = slot_map.withColumn("start", F.coalesce(F.sum("rows").over(before), F.lit(0)))
     # slots rows, a constant: safe to broadcast at any input size.
-    placed = rows.join(F.broadcast(starts.select("virtual_slot", "shard", "start")), "virtual_slot")
+    placed = rows.join(F.broadcast(starts.select("virtual_slot", "version", "shard", "start")), "virtual_slot")
     within = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), F.col("shard").cast("int").alias("shard"),
-        (F.col("start") + F.row_number().over(within) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot",
+        (F.col("start") + F.row_number().over(within) - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot", "version",
     )
