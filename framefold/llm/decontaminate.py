@@ -8,11 +8,12 @@ hashes of the benchmark. Around each hit the two are compared word by word on
 that alignment. A text is contaminated if a stretch of at least LEAST words
 (or as many as the item has, if that is fewer) begins and ends equal and is
 equal in SIMILAR of its places; the longest such stretch is reported.
-Items shorter than the shortest mask are looked for whole.
+Items of 5 to 7 words have masks of their own length that ignore one inner word
+each; shorter ones are looked for whole.
 
 The benchmark is read in blocks of at most BLOCK hashes, a bound on what is
-sent to each task; a larger benchmark takes more passes over the texts, and
-the texts are never shuffled. A hit is verified in the task that found it.
+sent to each task and held by the driver; a larger benchmark takes more passes
+over the texts, each written before the next, and the texts are never shuffled. A hit is verified in the task that found it.
 
 Defined cases: null and wordless texts and items match nothing; repeated rows
 are judged each on their own; null ids are carried as null; extra columns are
@@ -23,6 +24,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain, pairwise
 
 import numpy as np
 import pandas as pd
@@ -31,8 +33,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .storage import free_name
-from .text import ODD, mix, slices, words_of
+from .storage import free_name, materialise
+from .text import ODD, lower_slices, mix, release, slices, words_of
 
 #: 1: compared, 0: ignored. Whichever 2 of 13 words, or 3 of 16, are substituted, one of them still hits.
 MASKS = ["11111", "1101011", "11001101", "1010011001"]
@@ -79,9 +81,10 @@ class Index:
 
 
 def masks_for(n: int) -> list[str]:
-    """The masks for an item of n words; a short item is one mask of its own length."""
-    fit = [m for m in MASKS if len(m) <= n]
-    return fit or (["1" * n] if n else [])
+    """The masks for an item of n words; below 8 words all of its length that ignore one inner word, or that ignore none below 5."""
+    if n >= 8:
+        return [m for m in MASKS if len(m) <= n]
+    return ["1" * k + "0" + "1" * (n - 1 - k) for k in range(1, n - 1)] if n >= 5 else ["1" * n] if n else []
 
 
 def indexes(benchmark: pd.DataFrame) -> Iterator[Index]:
@@ -148,21 +151,32 @@ def matches(words: np.ndarray, first: np.ndarray, bench: Index, masks: list[str]
         places, low, high = maybe[hit], low[hit], high[hit]
         text = np.searchsorted(first, places, "right") - 1
         inside = places + len(mask) <= first[text + 1]
-        for p, a, b, t in zip(places[inside].tolist(), low[inside].tolist(), high[inside].tolist(), text[inside].tolist()):
-            for q in bench.at[a:b].tolist():
-                item = int(item_of[q])
-                shift = p - q
-                if (t, item, shift) in seen:
-                    continue
-                seen.add((t, item, shift))
-                b0, b1 = int(bench.first[item]), int(bench.first[item + 1])
-                start = max(b0, int(first[t]) - shift)
-                end = min(b1, int(first[t + 1]) - shift, n_words - shift)
-                equal = bench.words[start:end] == words[start + shift : end + shift]
-                found = best_stretch(equal, min(LEAST, b1 - b0))
-                if found:
-                    s, e = found
-                    yield t, item, start + s + shift - int(first[t]), e - s, start + s - b0, int(equal[s:e].sum())
+        for p, q, t in alignments(places[inside], low[inside], high[inside], text[inside], bench, item_of):
+            item, shift = int(item_of[q]), p - q
+            if (t, item, shift) in seen:
+                continue
+            seen.add((t, item, shift))
+            b0, b1 = int(bench.first[item]), int(bench.first[item + 1])
+            start = max(b0, int(first[t]) - shift)
+            end = min(b1, int(first[t + 1]) - shift, n_words - shift)
+            equal = bench.words[start:end] == words[start + shift : end + shift]
+            found = best_stretch(equal, min(LEAST, b1 - b0))
+            if found:
+                s, e = found
+                yield t, item, start + s + shift - int(first[t]), e - s, start + s - b0, int(equal[s:e].sum())
+
+
+def alignments(places: np.ndarray, low: np.ndarray, high: np.ndarray, text: np.ndarray, bench: Index, item_of: np.ndarray, block: int = 1 << 16) -> Iterator[tuple[int, int, int]]:
+    """place, posting and text of one hit of each alignment of a text with an item; a seed of many postings is taken in blocks."""
+    count = high - low
+    upto = np.cumsum(count)
+    for at in range(0, int(upto[-1]) if len(upto) else 0, block):
+        k = np.arange(at, min(at + block, int(upto[-1])))
+        hit = np.searchsorted(upto, k, "right")
+        q = bench.at[low[hit] + k - (upto[hit] - count[hit])]
+        p, t = places[hit], text[hit]
+        _, one = np.unique(np.stack([t, item_of[q], p - q]), axis=1, return_index=True)
+        yield from zip(p[one].tolist(), q[one].tolist(), t[one].tolist())
 
 
 def blocks(benchmark: DataFrame) -> Iterator[Index]:
@@ -174,7 +188,7 @@ def blocks(benchmark: DataFrame) -> Iterator[Index]:
         if size > BLOCK:
             yield from indexes(pd.DataFrame(held, columns=["item_id", "text"]))
             held, size = [], 0
-    yield from indexes(pd.DataFrame(held, columns=["item_id", "text"]))
+    yield from indexes(pd.DataFrame(held, columns=["item_id", "text"]))  # with no item at all there is no block
 
 
 KIND = "array<struct<item_id:long,start:long,length:long,item_start:long,equal:long>>"
@@ -192,11 +206,12 @@ def with_overlaps(docs: DataFrame, block: Index, name: str, keep: list[str]) ->
         item_of = block.item_of
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(len(batch))]
-            for at, _, data, offsets in slices(pc.utf8_lower(batch.column("text"))):
+            for at, _, data, offsets in lower_slices(batch.column("text")):
                 words, first = bare_words(data, offsets)
                 for t, item, start, length, item_start, equal in matches(words, first, block, masks, maybe, item_of):
                     found[at + t].append({"item_id": block.items[item], "start": start, "length": length, "item_start": item_start, "equal": equal})
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(found, arrow)], names=[*keep, name])
+            release()
 
     schema = docs.select(*keep, F.lit(None).cast(KIND).alias(name)).schema
     return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, schema)
@@ -205,10 +220,9 @@ def with_overlaps(docs: DataFrame, block: Index, name: str, keep: list[str]) ->
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """doc_id, contaminated, n_overlaps, items and overlaps (words without punctuation, from 0) of every row."""
     rows, names = docs.select("doc_id", "text"), []
-    parts = list(blocks(benchmark))
-    for k, block in enumerate(parts):
-        keep = ["doc_id", *names] if k == len(parts) - 1 else ["doc_id", "text", *names]
-        rows, names = with_overlaps(rows, block, f"overlaps_{k}", keep), [*names, f"overlaps_{k}"]
+    for k, (block, more) in enumerate(pairwise(chain(blocks(benchmark), [None]))):
+        rows, names = with_overlaps(rows, block, f"overlaps_{k}", ["doc_id", *["text"] * (more is not None), *names]), [*names, f"overlaps_{k}"]
+        rows = rows if more is None else materialise(rows, "overlaps")
     rows = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.expr(f"cast(array() as {KIND})"), *names).alias("overlaps"))
     return rows.select(
         "doc_id", (F.size("overlaps") > 0).alias("contaminated"), F.size("overlaps").cast("long").alias("n_overlaps"),
@@ -219,6 +233,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs without an overlap; one pass for each block, no shuffle."""
     columns, name = docs.columns, free_name(docs.columns, "__overlaps")
-    for block in blocks(benchmark):
+    for block, more in pairwise(chain(blocks(benchmark), [None])):
         docs = with_overlaps(docs, block, name, columns).filter(F.size(name) == 0).select(*columns)
+        docs = docs if more is None else materialise(docs, "clean")
     return docs
