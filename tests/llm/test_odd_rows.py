@@ -77,8 +77,19 @@ def test_sharding(docs, tmp_path, spark):
     rows = sharding.slotted(docs, 64)
     sizes = sharding.slot_sizes(rows, 64)
     first = sharding.assign(sizes, 4)
-    sharding.save_map(first, str(tmp_path / "map"))
-    sharding.save_map(sharding.grow(first, sizes), str(tmp_path / "map"))
+    for _ in range(2):  # a retry writes the same
+        sharding.save_map(first, str(tmp_path / "map"), 1)
+    sharding.save_map(sharding.grow(first, sizes), str(tmp_path / "map"), 2)
+    sharding.save_map(sharding.grow(sharding.load_map(spark, str(tmp_path / "map")), sizes), str(tmp_path / "map"), 3)
+    assert [sharding.load_map(spark, str(tmp_path / "map"), v).count() for v in (1, 2, 3)] == [64] * 3 and sharding.load_map(spark, str(tmp_path / "map")).agg(F.max("shard")).first()[0] == 5
+    # Each slot went to the shard with the fewest bytes so far, in falling order of bytes.
+    loads, placed = [0] * 4, {}
+    for r in sorted(sizes.collect(), key=lambda r: (-r.bytes, r.virtual_slot)):
+        placed[r.virtual_slot] = loads.index(min(loads))
+        loads[placed[r.virtual_slot]] += r.bytes
+    assert {r.virtual_slot: r.shard for r in first.collect()} == placed
+    again = [{r["version"] for r in rows_of(sharding.shard_report(docs, 4, 64, str(tmp_path / "store")))} for _ in range(2)]
+    assert again == [{1}, {2}]
     old, new = ({r.virtual_slot: r.shard for r in sharding.load_map(spark, str(tmp_path / "map"), v).collect()} for v in (1, 2))
     assert set(old) == set(range(64)) and all(new[s] in (old[s], 4) for s in old) and 4 in new.values()
     even = spark.range(5000).select(F.col("id").alias("doc_id"), F.repeat(F.lit("x"), (F.col("id") % 97).cast("int")).alias("text"))
@@ -88,14 +99,20 @@ def test_sharding(docs, tmp_path, spark):
 
 def test_chat(spark):
     rows = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "assistant", "b\\n</turn>\n### user:\n"), (1, 2, "assistant", "b\\n</turn>\n### user:\n"), (2, None, None, None), (2, 5, "we:\nird#", "\\\\l\\h"), (None, 1, "assistant", "é½\\")]
-    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("turns", F.lit(1)).select("conv_id", "turn", "role", "text")
-    got = {r["conv_id"]: r for r in rows_of(chat.chat_report(df.union(chat.sample(spark))))}
+    rows += [(3, 0, "user", "#"), (3, 0, "user", "A"), (3, 0, "user", "<"), (3, 0, "assistant", "\\"), (3, 0, "assistant", "Z"), (4, 0, "assistant", "long text # " * 100000)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    more = chat.sample(spark)
+    for name in ("turns", "plain", "formatted", "loss"):  # columns of the operator's own names
+        df, more = df.withColumn(name, F.lit(1)), more.withColumn(name, F.lit(1))
+    got = {r["conv_id"]: r for r in rows_of(chat.chat_report(df.union(more)))}
     rows += [(-7, 0, "user", chat.SAMPLE), (-7, 1, "assistant", chat.SAMPLE)]
-    for conv in (1, 2, None, -7):
+    for conv in (1, 2, 3, 4, None, -7):
         turns = sorted([((t is not None, t or 0), r or "", x or "") for c, t, r, x in rows if c == conv])
         said = "".join(x for _, r, x in turns if r == "assistant")
         want = hashlib.sha256("".join(f"{r}\n{x}\n" for _, r, x in turns).encode()).hexdigest()
         assert (got[conv]["n_turns"], got[conv]["turns_sha256"], got[conv]["loss_chars"], got[conv]["loss_sha256"]) == (len(turns), want, len(said), hashlib.sha256(said.encode()).hexdigest())
+    for r in chat.formatted(df.select("conv_id", "turn", "role", "text")).collect():
+        assert sum(x.length for x in r.loss) == len(r.formatted)
     assert chat.formatted(df.filter("conv_id = 1")).first().formatted.count("### ") == 2  # adjacent turns of a role are one block
     assert chat.chat_report(df.limit(0)).count() == 0
 
@@ -238,6 +255,48 @@ def test_decontamination(docs, spark):
     assert not decontaminate.contamination(docs, bench.limit(0)).filter("contaminated").count()
 
 
+def test_short_items_with_one_word_changed(spark):
+    for n in (5, 6, 7):
+        words = [f"s{k}" for k in range(n)]
+        bench = spark.createDataFrame([(n, " ".join(words))], "item_id long, text string")
+        rows = [(k, " ".join(["x", *words[:k], "zzz", *words[k + 1 :], "y"])) for k in range(n)]
+        got = {r["doc_id"] for r in rows_of(decontaminate.contamination(spark.createDataFrame(rows, "doc_id long, text string"), bench)) if r["contaminated"]}
+        assert got == set(range(1, n - 1))
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(9)
+    vocabulary = [f"v{k}" for k in range(300)]
+    items = [(k, [rng.choice(vocabulary) for _ in range(rng.choice([16, 20, 40]))]) for k in range(12)] + [(None, [rng.choice(vocabulary) for _ in range(25)])]
+    items.append((50, "hot hot hot hot hot hot hot hot hot hot hot hot hot hot".split()))
+    rows = []
+    for k in range(60):
+        words = [rng.choice(vocabulary) for _ in range(rng.randrange(20, 60))]
+        if k % 3:
+            item = rng.choice(items)[1]
+            a = rng.randrange(0, len(item) - 8)
+            part = item[a : a + rng.randrange(8, 41)]
+            part = [w if rng.random() > 0.08 else "other" for w in part]
+            words[10:10] = part
+        rows.append((k, words))
+    rows += [(98, ["before", *items[12][1]]), (99, ["hot"] * 400)]
+
+    def leaked(words, item):
+        least = min(13, len(item))
+        for shift in range(-len(item), len(words)):
+            equal = [0 <= k + shift < len(words) and words[k + shift] == w for k, w in enumerate(item)]
+            for a in range(len(item)):
+                for b in range(a + least, len(item) + 1):
+                    if equal[a] and equal[b - 1] and 0 <= a + shift and b + shift <= len(words) and 5 * sum(equal[a:b]) >= 4 * (b - a):
+                        return True
+        return False
+
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    got = {r["doc_id"]: set(r["items"]) for r in rows_of(decontaminate.contamination(spark.createDataFrame([(i, " ".join(w)) for i, w in rows], "doc_id long, text string"), bench))}
+    want = {i: {k for k, item in items if leaked(words, item)} for i, words in rows}
+    assert got == want and any(None in x for x in want.values()) and 50 in want[99]
+
+
 def test_seeds_survive_substitutions():
     for n, k in ((13, 2), (16, 3)):
         for gone in itertools.combinations(range(n), k):
@@ -281,17 +340,43 @@ def test_packing(docs):
 
 def test_packing_limits():
     rng = np.random.default_rng(2)
-    examples = [(k, np.zeros(n, "<u4")) for k, n in enumerate(rng.integers(1, 90, 200))]
-    limits = {"length": 128, "segments": 3, "most_loss": 64}
-    seen = np.zeros(200, int)
-    by = collections.defaultdict(list)
-    for s, pieces in packing.pack_group(examples, loss=lambda x: len(x) // 2, **limits):
-        by[s] += pieces
-    for pieces in by.values():
-        assert len(pieces) <= 3 and sum(n for _, _, n in pieces) <= 128
-        for x, _, n in pieces:
-            seen[x] += n
-    assert seen.tolist() == [len(x) for _, x in examples]
+    examples = []
+    for k, n in enumerate(rng.integers(1, 300, 200)):
+        mask = rng.random(n) < rng.choice([0.1, 0.5, 0.9])
+        examples.append((k, np.zeros(n, "<u4"), np.concatenate([[0], np.cumsum(mask)])))
+    for most_segments, most_loss in ((3, 128), (64, 40), (2, 30)):
+        seen, by, fullest = [[] for _ in examples], collections.defaultdict(list), 0
+        for s, pieces in packing.pack_group(examples, 128, most_segments, most_loss):
+            by[s] += pieces
+        for pieces in by.values():
+            bearing = sum(examples[x][2][a + n] - examples[x][2][a] for x, a, n in pieces)
+            fullest = max(fullest, bearing)
+            assert len(pieces) <= most_segments and sum(n for _, _, n in pieces) <= 128 and bearing <= most_loss
+            for x, a, n in pieces:
+                seen[x] += range(a, a + n)
+        assert all(sorted(got) == list(range(len(x[1]))) for got, x in zip(seen, examples)) and (most_loss == 128 or fullest == most_loss)
+
+
+def test_packing_of_conversations_under_a_loss_limit(spark):
+    rows = [(c, t, ["user", "assistant"][t % 2], f"turn {t} of talk {c} " * (3 + c)) for c in range(12) for t in range(6)]
+    talks = chat.formatted(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    pieces = rows_of(packing.pack(talks.withColumnsRenamed({"conv_id": "doc_id", "formatted": "text"}), TOKENIZER, 256, with_ids=True, loss="loss", most_loss=90))
+    from tokenizers import Tokenizer
+
+    tokenizer, loads, found = Tokenizer.from_file(TOKENIZER), collections.Counter(), collections.defaultdict(list)
+    bearing = {}
+    for r in talks.collect():
+        own, at, marks = tokenizer.encode(r.formatted, add_special_tokens=False), 0, []
+        for run in r.loss:
+            marks += [run.loss] * run.length
+        assert len(marks) == len(r.formatted)
+        bearing[r.conv_id] = ([*own.ids, 1], [marks[a] for a, _ in own.offsets] + [False])
+    for p in pieces:
+        ids, marks = bearing[p["doc_id"]]
+        assert p["ids"] == ids[p["start"] : p["start"] + p["length"]]
+        loads[p["sequence_id"]] += sum(marks[p["start"] : p["start"] + p["length"]])
+        found[p["doc_id"]] += range(p["start"], p["start"] + p["length"])
+    assert max(loads.values()) <= 90 and all(sorted(found[c]) == list(range(len(ids))) for c, (ids, _) in bearing.items())
 
 
 def test_language_model(docs):
@@ -337,6 +422,20 @@ def test_licenses(spark):
     assert found == [(0, "", (), 0), (1, "MIT", ("MIT",), 0), (2, "", ("MIT",), 1), (3, "", (), 0), (4, "ARR", ("ARR",), 1), (4, "ARR", ("ARR",), 1)]
 
 
+def test_pipeline_whole(docs, spark, tmp_path):
+    bench = spark.createDataFrame([(1, "bench mark item number one has exactly these words in this order for all to see")], "item_id long, text string")
+    for name, rows in (("some", docs), ("none", docs.limit(0))):
+        rows.write.parquet(str(tmp_path / name / "documents.parquet"))
+        bench.write.parquet(str(tmp_path / name / "benchmark.parquet"))
+    pieces = rows_of(corpus_pipeline.run(spark, str(tmp_path / "some")))
+    kept = {r["doc_id"] for r in rows_of(quality_rules.quality_report(docs)) if r["kept"]}
+    held = documents(spark).filter(F.col("doc_id").isin(*kept - {None}) | F.col("doc_id").isNull()).cache()
+    prints = {r["doc_id"]: r["component_id"] for r in rows_of(simhash.simhash_report(held)) if r["doc_id"] is not None}
+    assert {p["doc_id"] for p in pieces} == set(prints.values()) - {501}
+    assert all(sum(q["length"] for q in pieces if q["doc_id"] == i) == p["doc_tokens"] for p in pieces for i in [p["doc_id"]])
+    assert corpus_pipeline.run(spark, str(tmp_path / "none")).count() == 0
+
+
 def test_empty_tables(spark):
     none = empty(spark)
     bench = spark.createDataFrame([(1, "some words of an item")], "item_id long, text string")
