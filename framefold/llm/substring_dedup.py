@@ -116,7 +116,15 @@ def unit_starts(words: Words, grams: np.ndarray) -> np.ndarray:
     least[text[:m] != text[PASSAGE - 1 :]] = 0
     around = np.zeros(m + 2 * (SPACING - 1), np.uint64)
     around[SPACING - 1 : SPACING - 1 + m] = least
-    return np.flatnonzero(~least_of(~around, SPACING) == grams[: m + SPACING - 1])
+    starts = np.flatnonzero(~least_of(~around, SPACING) == grams[: m + SPACING - 1])
+    # Where words repeat in a short period, equal starts tie: those less than half of SPACING apart are thinned, so any SPACING of them still hold one.
+    close = (np.diff(starts) < SPACING // 2) & (grams[starts[1:]] == grams[starts[:-1]])
+    keep, last, before = np.ones(len(starts), bool), 0, -1
+    for k in (np.flatnonzero(close) + 1).tolist():
+        last = last if k - 1 == before else starts[k - 1]
+        keep[k] = starts[k] - last >= SPACING // 2
+        last, before = starts[k] if keep[k] else last, k
+    return starts[keep]
 
 
 def salts(count: int, seed: int = 0) -> np.ndarray:
@@ -432,6 +440,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     found = materialise(pieces(docs), "pieces")
     units, lines = found.filter("bands is null"), found.filter("bands is not null")
     run_rows = runs(units.select("row", "doc_id", "word", "name", "key"))
+    let_go(docs.sparkSession)
     lines = lines.select("row", "doc_id", "word", "n", "name", "key", "bands")
     members = met_in(lines.select("name", F.explode("bands").alias("band")), "members")
     unique = lines.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word", "n")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a = b")
