@@ -20,23 +20,23 @@ columns are ignored; an empty table gives no rows. Sequence ids are unique, not
 from __future__ import annotations
 
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .text import LOWER, slices, span_hashes
+from .text import LOWER, mix, release, slices, span_hashes
 
 LENGTH, SEGMENTS, END_ID = 2048, 256, 1
 #: Tokens, and examples, of a group.
-GROUP_TOKENS, GROUP_EXAMPLES = 1 << 22, 2048
+GROUP_TOKENS, GROUP_EXAMPLES = 1 << 20, 1024
 #: Bytes of text encoded at once.
-SLICE = 1 << 21
+SLICE = 1 << 19
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Distinct pieces that a worker remembers.
-MEMORY = 1 << 20
+MEMORY = 1 << 19
 
 
 class Ids:
@@ -59,16 +59,21 @@ class Ids:
         self.forget()
 
     def forget(self) -> None:
-        self.known: dict[int | str, int] = {}
+        self.keys, self.slot_of = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.flat, self.used = np.zeros(1 << 20, "<u4"), 1
         self.flat[0] = END_ID
-        self.begin, self.count = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
-        self.known[""] = 0  # slot 0 is the end id, and the empty word has none
-        self.count[0] = 1
+        self.begin, self.count = np.zeros(1 << 16, np.int32), np.zeros(1 << 16, np.int32)
+        self.count[0] = 1  # slot 0 is the end id
         self.slots = 1
 
-    def add(self, keys: list, ids: np.ndarray, counts: np.ndarray) -> None:
-        n = len(keys)
+    def slots_of(self, hashes: np.ndarray) -> np.ndarray:
+        """The slot of each known hash, or -1."""
+        at = np.searchsorted(self.keys, hashes)
+        at[at == len(self.keys)] = 0
+        return np.where(self.keys[at] == hashes, self.slot_of[at], -1) if len(self.keys) else np.full(len(hashes), -1, np.int32)
+
+    def add(self, hashes: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        n = len(hashes)
         while self.slots + n > len(self.begin):
             self.begin, self.count = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.count))
         while self.used + len(ids) > len(self.flat):
@@ -76,40 +81,51 @@ class Ids:
         self.flat[self.used : self.used + len(ids)] = ids
         self.begin[self.slots : self.slots + n] = self.used + np.cumsum(counts) - counts
         self.count[self.slots : self.slots + n] = counts
-        self.known.update(zip(keys, range(self.slots, self.slots + n)))
+        # Both runs are sorted, which a stable sort merges.
+        keys, slots = np.concatenate([self.keys, hashes]), np.concatenate([self.slot_of, np.arange(self.slots, self.slots + n, dtype=np.int32)])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.slot_of = keys[order], slots[order]
         self.slots, self.used = self.slots + n, self.used + len(ids)
 
-    def learn_pieces(self, hashes: list[int], pieces: list[str]) -> None:
-        for at in range(0, len(pieces), 512):
-            part = pieces[at : at + 512]
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
-            counts = np.diff(np.flatnonzero(self.is_end[ids]), prepend=-1)
-            if len(counts) != len(part) or counts.sum() != len(ids):
+    def ids_of(self, parts: list[str], joined: bool) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts one after another, and how many each has; joined ones are encoded as one text first."""
+        ids, counts = [], []
+        for at in range(0, len(parts), 512):
+            part = parts[at : at + 512]
+            if joined:
+                own = np.array(self.tokenizer.encode_batch_fast([" ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+                many = np.diff(np.flatnonzero(self.is_end[own]), prepend=-1)
+            if not joined or len(many) != len(part) or many.sum() != len(own):
                 each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-                ids, counts = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
-            self.add(hashes[at : at + 512], ids, counts)
-
-    def learn_words(self, words: list[str]) -> None:
-        for at in range(0, len(words), 512):
-            part = words[at : at + 512]
-            each = [x.ids for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]
-            self.add(part, np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each]))
+                own, many = np.array([i for x in each for i in x], np.int64), np.array([len(x) for x in each])
+            ids.append(own)
+            counts.append(many)
+        return np.concatenate(ids), np.concatenate(counts)
+
+    def found(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: bool) -> np.ndarray:
+        """The slots of spans of bytes, words or pieces; those not known yet are encoded."""
+        hashes = span_hashes(data, starts, ends)
+        distinct, first, which = np.unique(mix(hashes) if words else hashes, return_index=True, return_inverse=True)
+        slots = self.slots_of(distinct)
+        fresh = np.flatnonzero(slots < 0)
+        if len(fresh):
+            self.add(distinct[fresh], *self.ids_of([data[starts[k] : ends[k]].tobytes().decode() for k in first[fresh].tolist()], not words))
+            slots = self.slots_of(distinct)
+        return slots[which]
 
     def gathered(self, slots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        begin, count = self.begin[slots], self.count[slots]
+        begin, count = self.begin[slots].astype(np.int64), self.count[slots].astype(np.int64)
         ends = np.cumsum(count)
         return self.flat[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - count - begin, count)], ends
 
-    def of_words(self, text: str) -> np.ndarray:
-        words = [w for w in text.replace("\n", " ").replace("\t", " ").split(" ") if w]
-        fresh = [w for w in dict.fromkeys(words) if w not in self.known]
-        if fresh:
-            self.learn_words(fresh)
-        return self.gathered(np.array([*map(self.known.__getitem__, words), 0], np.int64))[0]
+    def of_words(self, data: np.ndarray) -> np.ndarray:
+        ink = np.concatenate([[False], (data != 32) & (data != 10) & (data != 9), [False]])
+        edges = np.flatnonzero(ink[1:] != ink[:-1])
+        return self.gathered(np.append(self.found(data, edges[::2], edges[1::2], True), 0) if len(edges) else np.zeros(1, np.int64))[0]
 
     def of(self, data: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
         """The ids, END_ID last, of each text of a slice."""
-        if len(self.known) > MEMORY:
+        if self.slots > MEMORY:
             self.forget()
         n = len(offsets) - 1
         original = data
@@ -125,24 +141,17 @@ class Ids:
         text = np.searchsorted(offsets, starts, "right") - 1
         use = (kind[starts] != SPACE) & plain[text]
         starts, ends, text = starts[use], ends[use], text[use]
-        distinct, first, which = np.unique(span_hashes(data, starts, ends), return_index=True, return_inverse=True)
-        keys = distinct.tolist()
-        slots = [self.known.get(h, -1) for h in keys]
-        fresh = [k for k, x in enumerate(slots) if x < 0]
-        if fresh:
-            raw = data.tobytes()
-            self.learn_pieces([keys[k] for k in fresh], [raw[starts[first[k]] : ends[first[k]]].decode() for k in fresh])
-            slots = [self.known[h] for h in keys]
+        slots = self.found(data, starts, ends, False) if len(starts) else np.zeros(0, np.int64)
         # Each text's pieces, then the slot of END_ID.
         per = np.bincount(text, minlength=n)
         last = np.cumsum(per) + np.arange(n)
         order = np.zeros(len(text) + n, np.int64)
         is_piece = np.ones(len(order), bool)
         is_piece[last] = False
-        order[is_piece] = np.array(slots, np.int64)[which] if len(which) else 0
+        order[is_piece] = slots
         ids, ends_at = self.gathered(order)
         bounds = np.concatenate([[0], ends_at[last]])
-        return [ids[bounds[k] : bounds[k + 1]] if plain[k] else self.of_words(original[offsets[k] : offsets[k + 1]].tobytes().decode()) for k in range(n)]
+        return [ids[bounds[k] : bounds[k + 1]] if plain[k] else self.of_words(original[offsets[k] : offsets[k + 1]]) for k in range(n)]
 
 
 SPACE, LETTER, DIGIT, SIGN, ODD_BYTE = range(5)
@@ -175,42 +184,42 @@ def ids_at(path: str) -> Ids:
     return _IDS[path]
 
 
-def place(sizes: np.ndarray, limits: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
-    """Sequences of (example, start, length) that hold each token of each example once.
+def place(start: np.ndarray, upto: list[np.ndarray], limits: np.ndarray) -> Iterator[list[tuple[int, int, int]]]:
+    """Sequences of (example, start, length) that hold each token of each example once, from its start on.
 
-    sizes: an example's tokens and loss-bearing tokens; limits: tokens, segments, loss-bearing
-    tokens of a sequence. Loss-bearing tokens count in proportion where an example is cut.
+    upto: of each example, the loss-bearing tokens before each token (one more at the end); limits: tokens, segments,
+    loss-bearing tokens of a sequence.
     """
-    order = np.argsort(-sizes[:, 0], kind="stable")
-    tokens, share = sizes[order, 0].astype(np.int64), sizes[order, 1] / np.maximum(sizes[order, 0], 1)
-    start = np.zeros(len(order), np.int64)
-    live = np.flatnonzero(tokens > 0)
-    room, inside = limits.astype(float).copy(), []
+    start = start.astype(np.int64)
+    need = np.stack([[len(u) - 1 - a for u, a in zip(upto, start)], np.ones(len(upto)), [u[-1] - u[a] for u, a in zip(upto, start)]], axis=1).astype(float)
+    order = np.argsort(-need[:, 0], kind="stable")
+    live = order[need[order, 0] > 0]
+    room, inside = limits.astype(float), []
     while len(live):
-        need = np.stack([tokens[live], np.ones(len(live)), np.ceil(tokens[live] * share[live])], axis=1)
-        if room[1] >= 1:
-            fits = (need <= room).all(axis=1)
-            score = ((need / limits) @ (room / limits))
-            if fits.any():
-                k = int(np.argmax(np.where(fits, score, -1)))
-                j = live[k]
-                inside.append((int(order[j]), int(start[j]), int(tokens[j])))
-                room -= need[k]
-                tokens[j] = 0
-                live = np.delete(live, k)
-                if room[0] > 0:
-                    continue
-            else:
-                k = int(np.argmax(score))
-                j = live[k]
-                cut = min(int(room[0]), int(room[2] / share[j]) if share[j] else int(room[0]))
-                if cut > 0:
-                    inside.append((int(order[j]), int(start[j]), cut))
-                    start[j] += cut
-                    tokens[j] -= cut
+        own = need[live]
+        fits = (own <= room).all(axis=1)
+        score = (own / limits) @ (room / limits)
+        if fits.any():
+            k = int(np.argmax(np.where(fits, score, -1)))
+            j = int(live[k])
+            inside.append((j, int(start[j]), int(need[j, 0])))
+            room = room - need[j]
+            live = np.delete(live, k)
+            if room[0] > 0 and room[1] >= 1:
+                continue
+        elif room[1] >= 1:
+            # None fits whole: the head of the best one, as long as the loss-bearing tokens in it fit.
+            j = int(live[int(np.argmax(score))])
+            most = int(np.searchsorted(upto[j], upto[j][start[j]] + room[2], "right")) - 1 - int(start[j])
+            cut = min(int(room[0]), most)
+            if cut > 0:
+                inside.append((j, int(start[j]), cut))
+                need[j, 0] -= cut
+                need[j, 2] -= upto[j][start[j] + cut] - upto[j][start[j]]
+                start[j] += cut
         if inside:
             yield inside
-        room, inside = limits.astype(float).copy(), []
+        room, inside = limits.astype(float), []
     if inside:
         yield inside
 
@@ -234,61 +243,79 @@ def tidy(sequence: list[tuple[int, int, int]], length: int) -> Iterator[list[tup
         yield part
 
 
-def pack_group(examples: list[tuple[int | None, np.ndarray]], loss: Callable[[np.ndarray], int] = len, length: int = LENGTH, segments: int = SEGMENTS, most_loss: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
-    """(sequence, pieces) of a group of examples (doc_id, ids); pieces are (example, start, length)."""
+def pack_group(examples: list[tuple[int | None, np.ndarray, np.ndarray]], length: int = LENGTH, segments: int = SEGMENTS, most_loss: int | None = None) -> Iterator[tuple[int, list[tuple[int, int, int]]]]:
+    """(sequence, pieces) of a group of examples (doc_id, ids, loss-bearing tokens before each); pieces are (example, start, length)."""
     limits = np.array([length, segments, most_loss or length])
-    counts = np.array([len(ids) for _, ids in examples], np.int64)
-    losses = np.array([loss(ids) for _, ids in examples], np.int64)
     k = 0
     rests = np.zeros(len(examples), np.int64)
-    for x, n in enumerate(counts):
-        if losses[x] * length <= n * limits[2]:
-            rests[x] = n // length * length
-            for at in range(0, int(rests[x]), length):
-                yield k, [(x, at, length)]
-                k += 1
-    left = counts - rests
-    share = losses / np.maximum(counts, 1)
-    for sequence in place(np.stack([left, np.ceil(left * share)], axis=1), limits):
-        for part in tidy([(x, int(rests[x]) + at, n) for x, at, n in sequence], length):
+    for x, (_, ids, upto) in enumerate(examples):
+        while rests[x] + length <= len(ids) and upto[rests[x] + length] - upto[rests[x]] <= limits[2]:
+            yield k, [(x, int(rests[x]), length)]
+            k, rests[x] = k + 1, rests[x] + length
+    for sequence in place(rests, [upto for _, _, upto in examples], limits):
+        for part in tidy(sequence, length):
             yield k, part
             k += 1
 
 
-def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: int = SEGMENTS, with_ids: bool = False) -> DataFrame:
-    """One row of SCHEMA for each piece; with_ids adds its ids."""
+def bearing(runs: list[dict], offsets: list[tuple[int, int]]) -> np.ndarray:
+    """Which tokens (first and last character) begin in a run that bears loss; what lies beyond the runs bears none."""
+    ends = np.cumsum([r["length"] for r in runs] or [0])
+    on = np.array([bool(r["loss"]) for r in runs] + [False])
+    return on[np.minimum(np.searchsorted(ends, [a for a, _ in offsets], "right"), len(runs))] if offsets else np.zeros(0, bool)
+
+
+def pack(docs: DataFrame, tokenizer_path: str, length: int = LENGTH, segments: int = SEGMENTS, with_ids: bool = False, loss: str | None = None, most_loss: int | None = None) -> DataFrame:
+    """One row of SCHEMA for each piece; with_ids adds its ids.
+
+    loss names a column of runs of characters (array of structs of length and loss, as chat.formatted gives); without
+    it all of a text bears loss. The end id bears none. A sequence has most_loss loss-bearing tokens at most, or
+    as many as it has tokens.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, part, made = ids_at(tokenizer_path), TaskContext.get().partitionId(), 0
-        group: list[tuple[int | None, np.ndarray]] = []
+        group: list[tuple[int | None, np.ndarray, np.ndarray]] = []
         held = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal made
             rows: list[tuple] = []
+            taken: list[np.ndarray] = []
             sequences = 0
-            for k, pieces in pack_group(group, length=length, segments=segments):
+            for k, pieces in pack_group(group, length, segments, most_loss):
                 offset, sequences = 0, k + 1
                 for x, start, n in pieces:
-                    doc_id, ids = group[x]
+                    doc_id, ids, _ = group[x]
                     piece = ids[start : start + n]
-                    rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), (part << 40) + made + k, offset, *([piece.tolist()] if with_ids else [])))
+                    rows.append((doc_id, start, n, zlib.crc32(piece.tobytes()), len(ids), (part << 40) + made + k, offset))
+                    taken += [piece] * with_ids
                     offset += n
             made += sequences
             names = [x.split()[0] for x in SCHEMA.split(", ")] + ["ids"] * with_ids
-            types = [pa.int64()] * 7 + [pa.list_(pa.int64())] * with_ids
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
+            columns = [pa.array(c, pa.int64()) for c in zip(*rows)]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum([len(x) for x in taken])]), pa.int32()), pa.array(np.concatenate(taken).astype(np.int32))))
+            return pa.RecordBatch.from_arrays(columns, names=names)
 
         for batch in batches:
             doc_ids = batch.column("doc_id").cast(pa.int64()).to_pylist()
             for at, to, data, offsets in slices(batch.column("text"), SLICE):
-                for doc_id, encoded in zip(doc_ids[at:to], encoder.of(data, offsets)):
-                    group.append((doc_id, encoded))
+                runs = batch.column(loss).slice(at, to - at).to_pylist() if loss else None
+                for k, (doc_id, encoded) in enumerate(zip(doc_ids[at:to], encoder.of(data, offsets) if not loss else [None] * (to - at))):
+                    upto = np.arange(len(encoded) + 1, dtype=np.int32) if not loss else None
+                    if loss:
+                        own = encoder.tokenizer.encode(data[offsets[k] : offsets[k + 1]].tobytes().decode(), add_special_tokens=False)
+                        encoded = np.array([*own.ids, END_ID], "<u4")
+                        upto = np.concatenate([[0], np.cumsum(bearing(runs[k] or [], own.offsets)), [0]]).astype(np.int32)
+                    upto[-1] = upto[-2]
+                    group.append((doc_id, encoded, upto))
                     held += len(encoded)
                     if held >= GROUP_TOKENS or len(group) >= GROUP_EXAMPLES:
                         yield flush()
                         group, held = [], 0
         if group:
             yield flush()
+        release()
 
-    return docs.select("doc_id", "text").mapInArrow(run, SCHEMA + ", ids array<long>" * with_ids)
+    return docs.select("doc_id", "text", *([loss] if loss else [])).mapInArrow(run, SCHEMA + ", ids array<int>" * with_ids)

@@ -76,7 +76,7 @@ def repeated_words(words: Column) -> Column:
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """docs with the columns of MEASURES and __place; one pass over the text, no shuffle."""
+    """docs with the columns of MEASURES; one pass over the text, no shuffle."""
     text = F.coalesce(F.col("text"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     docs = docs.withColumn("__words", F.array_remove(F.split(text, SPACE), "")).withColumn("__lines", lines)
@@ -89,8 +89,6 @@ def measured(docs: DataFrame) -> DataFrame:
             "n_lines": F.size("__lines").cast("long"),
             "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long"),
             "n_repeat_words": repeated_words(words),
-            # Not deterministic, so no filter that reads it is pushed below: pushed, it would split the text anew for every word.
-            "__place": F.monotonically_increasing_id(),
         }
     ).drop("__words", "__lines")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
@@ -116,7 +114,7 @@ def bucket(value: str) -> Column:
 def sketches(rows: DataFrame) -> DataFrame:
     """lang, source, measure, bucket, n: the mergeable sketch of every (lang, source) group."""
     pairs = F.explode(F.array(*[F.struct(F.lit(k).alias("measure"), v.alias("value")) for k, v in scaled().items()]))
-    return rows.filter(~F.col("base_failed") & (F.col("__place") >= 0)).select("lang", "source", pairs.alias("m")).select("lang", "source", "m.measure", "m.value").groupBy("lang", "source", "measure", bucket("value").alias("bucket")).agg(F.count("*").alias("n"))
+    return rows.filter(~F.col("base_failed")).select("lang", "source", pairs.alias("m")).select("lang", "source", "m.measure", "m.value").groupBy("lang", "source", "measure", bucket("value").alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
@@ -156,10 +154,10 @@ def judged(rows: DataFrame, limits: DataFrame) -> DataFrame:
 
 
 def kept_documents(docs: DataFrame) -> DataFrame:
-    """The rows of docs that the rules keep, unchanged. Texts are measured twice, once for the fences, rather than written in between."""
-    whole = docs.select(F.struct(*docs.columns).alias("document"), "lang", "source", "text")
-    limits = materialise(fences(sketches(measured(whole.select("lang", "source", "text")))), "fences")
-    return judged(measured(whole), limits).filter(F.col("kept") & (F.col("__place") >= 0)).select("document.*")
+    """The rows of docs that the rules keep, unchanged. Rows are written with their measures, so each text is measured once."""
+    rows = materialise(measured(docs.select(F.struct(*docs.columns).alias("document"), "lang", "source", "text")).drop("text"), "measures")
+    limits = materialise(fences(sketches(rows)), "fences")
+    return judged(rows, limits).filter("kept").select("document.*")
 
 
 def quality_report(docs: DataFrame) -> DataFrame:
