@@ -22,11 +22,15 @@ def from_kafka(spark: SparkSession, servers: str, topic: str, per_trigger: int |
 
 
 def from_messages(messages: DataFrame) -> DataFrame:
-    """Control and audio messages (client_id, seq, text, data) as session rows: client_id 'new' gets an id, text is JSON.
+    """Control and audio messages (client_id, seq, text, data) as session rows: text is JSON.
+
+    A client_id 'new' gets an id that all messages of its connection share: that of the column connection, which names
+    the connection wherever clients are new; without one it is an error.
 
     kind is start, stop or data; config is what a start brings.
     """
     schema = "type string, config struct<vad_threshold:double,speech_pad_ms:int,min_silence_duration_ms:int,sample_rate:int>"
     said = F.from_json("text", schema)
-    stream = F.when(F.col("client_id") == "new", F.uuid()).otherwise(F.col("client_id"))
+    connection = F.col("connection").cast("string") if "connection" in messages.columns else F.raise_error(F.lit("a new client needs a connection")).cast("string")
+    stream = F.when(F.col("client_id") == "new", F.concat(F.lit("new-"), F.substring(F.sha2(connection, 256), 1, 16))).otherwise(F.col("client_id"))
     return messages.select(stream.alias("stream_id"), "seq", F.when(F.col("text").isNotNull(), said["type"]).otherwise("data").alias("kind"), said["config"].alias("config"), "data")

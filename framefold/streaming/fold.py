@@ -38,6 +38,15 @@ class EnergyMarks:
         samples = np.frombuffer(audio, "<i2").astype(np.float64) / 32768
         return self.mark(frame_id, min(1.0, math.sqrt(float((samples * samples).mean())) / self.loud), state)
 
+    def configured(self, config: dict) -> EnergyMarks:
+        """The same with a session's own threshold and silence, where it gives any."""
+        threshold, silence = config.get("vad_threshold"), config.get("min_silence_duration_ms")
+        if threshold is None and silence is None:
+            return self
+        made = EnergyMarks(self.threshold if threshold is None else threshold, self.threshold - self.low, 0, self.loud)
+        made.silence = self.silence if silence is None else math.ceil(silence / FRAME_MS)
+        return made
+
     def mark(self, frame_id: int, score: float, state: dict) -> str | None:
         if score >= self.threshold:
             state["quiet"] = None
@@ -121,24 +130,24 @@ class MarkerFold(Ordered):
 
 
 class ByteFold(Ordered):
-    """Session rows (stream_id, seq from 0, kind, data) to results.
+    """Session rows (stream_id, seq from 0, kind, config as JSON, data) to results.
 
-    kind is data, start or stop; without a start a stream begins by itself. A start ends the old session with all of its
+    The config of a start holds until the next one; marks that have configured() take it. kind is data, start or stop; without a start a stream begins by itself. A start ends the old session with all of its
     state; data after a stop is ignored. The tail of a frame and an open segment at the end are dropped. Segment numbers
     begin anew in each session.
     """
 
-    first, payload, schema = 0, "kind string, data binary", RESULT
+    first, payload, schema = 0, "kind string, config string, data binary", RESULT
 
     def __init__(self, marks: Callable[[int, bytes, dict], str | None], cap: int = CAP, controlled: bool = False) -> None:
         self.marks, self.cap, self.controlled = marks, cap, controlled
 
     def step(self, key: str, seq: int, values: tuple, state: dict) -> list[tuple]:
-        kind, data = values
+        kind, config, data = values
         if kind in ("start", "stop"):
             epoch, following = state.get("epoch", 0), state["next"]
             state.clear()
-            state.update(next=following, buffer=b"", epoch=epoch + (kind == "start"), live=kind == "start")
+            state.update(next=following, buffer=b"", epoch=epoch + (kind == "start"), live=kind == "start", config=json.loads(config) if kind == "start" and config else {})
             self.audio.clear()
             return []
         if not state.get("live", not self.controlled) or not data:
@@ -152,10 +161,14 @@ class ByteFold(Ordered):
         state["buffer"] = buffer[len(buffer) // FRAME_BYTES * FRAME_BYTES :]
         return out
 
+    def marks_of(self, state: dict) -> Callable[[int, bytes, dict], str | None]:
+        config = state.get("config")
+        return self.marks.configured(config) if config and hasattr(self.marks, "configured") else self.marks
+
     def frame(self, key: str, audio: bytes, state: dict) -> list[tuple]:
         number = state["frame"] = state.get("frame", 0) + 1
         time, epoch = number * FRAME_MS, state.get("epoch", 0)
-        role, state["collecting"] = fold(self.marks(number, audio, state.setdefault("marks", {})), state.get("collecting", False))
+        role, state["collecting"] = fold(self.marks_of(state)(number, audio, state.setdefault("marks", {})), state.get("collecting", False))
         if role == "frame":
             return [(key, epoch, "frame", number, None, time, time, 1, audio)]
         if role == "open":
@@ -182,8 +195,10 @@ def results(rows: DataFrame, marks: Callable[[int, bytes, dict], str | None] | N
 
     controlled = "kind" in rows.columns
     rows = rows if controlled else rows.withColumn("kind", F.lit("data"))
+    config = F.to_json("config") if "config" in rows.columns else F.lit(None).cast("string")
+    rows = rows.withColumn("config", config)
     fold_ = ByteFold(marks or EnergyMarks(), cap, controlled)
-    return rows.select("stream_id", "seq", "kind", "data").groupBy("stream_id").transformWithStateInPandas(fold_, RESULT, "Append", "None")
+    return rows.select("stream_id", "seq", "kind", "config", "data").groupBy("stream_id").transformWithStateInPandas(fold_, RESULT, "Append", "None")
 
 
 def run_available(out: DataFrame, path: str, checkpoint: str) -> DataFrame:

@@ -1,9 +1,11 @@
+import json
 import math
 import random
 
 import numpy as np
 
 from framefold.api import Engine
+from framefold.sources import streams
 from framefold.streaming import fold
 
 
@@ -59,3 +61,19 @@ def test_engine_on_one_push(spark):
     with Engine(spark) as engine:
         assert engine.from_bytes(bytes(1023)).count() == 0
         assert engine.from_bytes(bytes(2050)).count() == 2
+
+
+def test_a_start_brings_its_config(spark):
+    quiet, loud = bytes(1024), (np.ones(512) * 20000).astype("<i2").tobytes()
+    soft = (np.ones(512) * 1000).astype("<i2").tobytes()
+    config = lambda **k: json.dumps({"type": "start", "config": k})
+    rows = [
+        ("new", "c1", 0, config(min_silence_duration_ms=320), None), ("new", "c1", 1, None, loud + quiet * 20), ("new", "c1", 2, config(vad_threshold=0.2), None), ("new", "c1", 3, None, soft + quiet * 20),
+        ("new", "c2", 0, config(), None), ("new", "c2", 1, None, soft + quiet * 20), ("new", "c2", 2, None, loud + quiet * 20),
+    ]
+    said = spark.createDataFrame([(c, n, k, t, bytearray(d) if d else None) for c, n, k, t, d in rows], "client_id string, connection string, seq long, text string, data binary")
+    sessions = streams.from_messages(said)
+    ids = {r.stream_id for r in sessions.select("stream_id").distinct().collect()}
+    got = sorted((r.epoch, r.frame_count) for r in fold.results(sessions).filter("result_type = 'segment'").collect())
+    # Silence of 320 ms is 10 frames, the default 4; a soft sound is heard from 0.2 on.
+    assert len(ids) == 2 and got == sorted([(1, 12), (2, 6), (1, 6)])
