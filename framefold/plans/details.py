@@ -213,3 +213,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         wav_round_trip, chunk_playback, sample_frames, session_messages, stream_results, segment_messages, segments_only, segment_bytes, sample_kinds, alaw_arrays, narrowed, model_scores, marker_probabilities, renderings, error_rows,
         buffer_checks, option_maps, required_samples, first_results, silent_chunks,
     )}
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLE)

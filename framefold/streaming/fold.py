@@ -24,8 +24,9 @@ SEGMENT = "stream_id string, segment_id long, first_frame long, last_frame long,
 
 
 def enable(spark: SparkSession) -> None:
-    """The state store that these operators need."""
+    """The state store that these operators need, and its coordinator, which batch plans ask for as well."""
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
+    spark._jsparkSession.streams()  # starts the coordinator
 
 
 class EnergyMarks:
