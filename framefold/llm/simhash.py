@@ -7,10 +7,11 @@ the lower half has 1 at most. So the trie is walked twice, once in each order
 of the halves, with that budget for the first half and 4 for the whole: exact,
 and far fewer node pairs than one walk with 4 from the root.
 
-The top of the trie is walked on the driver over a histogram of 16-bit
-prefixes (65,536 rows at most); nodes that hold more than CAPACITY
-fingerprints and cannot be split there are cut into chunks by hash. Each pair
-of nodes, or chunks, is then one group of bounded size. Only distinct
+The nodes at the top of the trie are chosen on the driver from a histogram of
+16-bit prefixes (65,536 rows at most); nodes that hold more fingerprints than
+the capacity and cannot be split there are cut into chunks by hash. Tasks then
+walk the pairs of these nodes into a written plan, and each pair of nodes, or
+chunks, is one group of bounded size. Only distinct
 fingerprints take part, and a group returns a spanning forest of its links
 rather than all pairs, so groups of copies cost no more than other rows.
 
@@ -171,69 +172,69 @@ def rotated(x: np.ndarray, bits: int) -> np.ndarray:
     return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits)) if bits else x
 
 
-def top_pairs(histogram: dict[int, int], half: int, capacity: int) -> tuple[np.ndarray, list[tuple[int, int]]]:
-    """The top of the trie: for each 16-bit prefix its node, and the pairs of nodes within the budget."""
+def top_nodes(histogram: dict[int, int], capacity: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The top of the trie: for each 16-bit prefix its node, and of each node its prefix, depth and number of chunks."""
     counts = np.zeros(1 << TOP_BITS, np.int64)
     counts[list(histogram)] = list(histogram.values())
     upto = np.concatenate([[0], np.cumsum(counts)])
-    nodes: list[tuple[int, int]] = []  # prefix, depth
+    node_of = np.full(1 << TOP_BITS, -1, np.int64)
+    nodes: list[tuple[int, int, int]] = []  # prefix, depth, chunks
     stack = [(0, 0)]
     while stack:
         prefix, depth = stack.pop()
         low, width = prefix << (TOP_BITS - depth), 1 << (TOP_BITS - depth)
-        n = upto[low + width] - upto[low]
-        if not n:
-            continue
-        if n <= capacity or depth == TOP_BITS:
-            nodes.append((prefix, depth))
-        else:
+        n = int(upto[low + width] - upto[low])
+        if n > capacity and depth < TOP_BITS:
             stack += [(prefix * 2, depth + 1), (prefix * 2 + 1, depth + 1)]
-    node_of = np.full(1 << TOP_BITS, -1, np.int64)
-    for k, (prefix, depth) in enumerate(nodes):
-        low = prefix << (TOP_BITS - depth)
-        node_of[low : low + (1 << (TOP_BITS - depth))] = k
-    prefix, depth = (np.array([x[i] for x in nodes], np.int64) for i in (0, 1))
-    pairs: list[tuple[int, int]] = []
-    for k in range(len(nodes)):
-        common = np.minimum(depth[k], depth[k:])
-        differ = (prefix[k] >> (depth[k] - common)) ^ (prefix[k:] >> (depth[k:] - common))
-        pairs += [(k, k + int(j)) for j in np.flatnonzero(np.bitwise_count(differ.astype(np.uint64)) <= half)]
-    return node_of, pairs
+        elif n:
+            node_of[low : low + width] = len(nodes)
+            nodes.append((prefix, depth, -(-n // (2 * capacity))))
+    prefix, depth, chunks = np.array(nodes, np.int64).reshape(-1, 3).T
+    return node_of, prefix, depth, chunks
+
+
+def planned(spark: SparkSession, prefix: np.ndarray, depth: np.ndarray, chunks: np.ndarray, half: int) -> DataFrame:
+    """node, chunk, side and the group (a, x, b, y) it takes part in: chunk x of node a meets chunk y of node b.
+
+    Tasks find the pairs of nodes within the budget, and the plan is a written table: the driver holds the nodes alone.
+    """
+    shared = spark.sparkContext.broadcast((prefix, depth, chunks))  # 65,536 nodes at most
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        prefix, depth, chunks = shared.value
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                common = np.minimum(depth[k], depth[k:])
+                differ = (prefix[k] >> (depth[k] - common)) ^ (prefix[k:] >> (depth[k:] - common))
+                other = k + np.flatnonzero(np.bitwise_count(differ.astype(np.uint64)) <= half)
+                ends = [np.full(len(other), k), other, np.full(len(other), chunks[k]), chunks[other]]
+                yield pa.RecordBatch.from_arrays([pa.array(e.astype(np.int32)) for e in ends], names=["a", "b", "n_a", "n_b"])
+
+    pairs = spark.range(0, len(prefix), 1, max(1, len(prefix) // 512)).mapInArrow(run, "a int, b int, n_a int, n_b int")
+    rows = pairs.select("a", "b", "n_b", F.explode(F.sequence(F.lit(0), F.col("n_a") - 1)).alias("x")).select("a", "x", "b", F.explode(F.sequence(F.lit(0), F.col("n_b") - 1)).alias("y"))
+    rows = rows.filter("a <> b or x <= y")
+    # A chunk that meets itself has one side.
+    sides = F.array(F.struct(F.col("a").alias("node"), F.col("x").alias("chunk"), F.lit(0).alias("side")), F.when((F.col("a") != F.col("b")) | (F.col("x") != F.col("y")), F.struct(F.col("b").alias("node"), F.col("y").alias("chunk"), F.lit(1).alias("side"))))
+    return materialise(rows.select("a", "x", "b", "y", F.explode(sides).alias("s")).filter("s is not null").select("s.node", "s.chunk", "s.side", "a", "x", "b", "y"), "trie-plan")
 
 
 def links(rows: DataFrame) -> DataFrame:
     """rows (fp) to u, v: links of distinct fingerprints that connect just those which are joined by steps of ERRORS bits at most."""
     spark = rows.sparkSession
     distinct = materialise(rows.select("fp").distinct(), "fingerprints")
-    total = distinct.count()
-    capacity = int(np.clip(total // 64, LEAST_NODE, MOST_NODE))
+    capacity = int(np.clip(distinct.count() // 64, LEAST_NODE, MOST_NODE))
     found = []
     for turn, half in ORDERS:
         key = F.expr(f"shiftright(shiftleft(fp, {turn}), {64 - TOP_BITS}) & {(1 << TOP_BITS) - 1}").cast("int")
         histogram = dict(distinct.groupBy(key.alias("k")).count().collect())  # 65,536 rows at most
         if not histogram:
             continue
-        node_of, pairs = top_pairs(histogram, half, capacity)
-        sizes = np.zeros(node_of.max() + 1, np.int64)
-        for k, n in histogram.items():
-            sizes[node_of[k]] += n
-        chunks = np.maximum(1, -(-sizes // (2 * capacity)))
-        # Each node's groups: one for each pair it is in and each of the other's chunks.
-        groups, per = 0, {int(k): [] for k in range(len(sizes))}
-        for a, b in pairs:
-            for x in range(int(chunks[a])):
-                for y in range(int(chunks[b])):
-                    if a == b and y < x:
-                        continue
-                    per[a].append((groups, 0, x))
-                    if (a, x) != (b, y):
-                        per[b].append((groups, 1, y))
-                    groups += 1
-        # Both are of bounded size: 65,536 prefixes, and for each of some hundred nodes the groups it is in.
-        nodes = spark.createDataFrame(pd.DataFrame([(int(k), int(node_of[k])) for k in histogram], columns=["k", "node"]), "k int, node int")
-        plan = spark.createDataFrame(pd.DataFrame([(node, g, side, chunk, int(chunks[node])) for node in per for g, side, chunk in per[node]], columns=["node", "g", "side", "chunk", "chunks"]), "node int, g int, side int, chunk int, chunks int")
-        dealt = distinct.withColumn("k", key).join(F.broadcast(nodes), "k").join(F.broadcast(plan), "node").filter(F.pmod(F.xxhash64("fp"), F.col("chunks")) == F.col("chunk"))
-        found.append(dealt.select("g", "side", "fp").groupBy("g").applyInArrow(joiner(turn, half), "u long, v long"))
+        node_of, prefix, depth, chunks = top_nodes(histogram, capacity)
+        nodes = spark.createDataFrame(pd.DataFrame([(int(k), int(node_of[k]), int(chunks[node_of[k]])) for k in histogram], columns=["k", "node", "chunks"]), "k int, node int, chunks int")
+        # The plan grows with the data, so Spark weighs its size. A key holds 2 * capacity fingerprints at most.
+        placed = distinct.withColumn("k", key).join(F.broadcast(nodes), "k").select("fp", "node", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("chunk"))
+        dealt = placed.join(planned(spark, prefix, depth, chunks, half), ["node", "chunk"])
+        found.append(dealt.select("a", "x", "b", "y", "side", "fp").groupBy("a", "x", "b", "y").applyInArrow(joiner(turn, half), "u long, v long"))
     if not found:
         return rows.select(F.col("fp").alias("u"), F.col("fp").alias("v")).limit(0)
     return found[0].union(found[1]) if len(found) > 1 else found[0]
