@@ -134,8 +134,10 @@ def vocabulary(counts: DataFrame, ends: int) -> Vocabulary:
     width = "greatest(length(bin(n)) - 10, 0)"
     many = sorted(counts.groupBy(F.expr(f"shiftleft(shiftright(n, {width}), {width})").alias("least")).count().collect(), reverse=True)
     fit = np.cumsum([r["count"] for r in many]) <= DICTIONARY
-    least = many[int(fit.sum()) - 1]["least"] if len(many) and fit[0] else None
-    top = counts.filter(F.col("n") >= F.lit(least).cast("long")).toArrow().sort_by([("n", "descending"), ("h", "ascending")])  # DICTIONARY rows at most
+    # If the first step alone is too large, its words of the least hashes make up the dictionary.
+    least = many[max(int(fit.sum()), 1) - 1]["least"] if many else None
+    chosen = counts.filter(F.col("n") >= F.lit(least).cast("long"))
+    top = (chosen if not many or fit[0] else chosen.orderBy("h").limit(DICTIONARY)).toArrow().sort_by([("n", "descending"), ("h", "ascending")])  # DICTIONARY rows at most
     by_ending = counts.groupBy("ending").agg(F.sum("n").alias("n"), F.count("*").alias("v")).toArrow()  # 65,536 rows at most
     h, n, ending = (top.column(c).to_numpy() for c in ("h", "n", "ending"))
     tokens, types = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
