@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..config import SAMPLE_RATE
 from ..schemas import FRAME_STRUCT, SEGMENT_STRUCT
+from .numbering import numbered
 
 INSTANCE = "stream_processor"
 
@@ -94,7 +95,6 @@ def only(rows: DataFrame, kind: str) -> DataFrame:
     return rows.filter(F.col("result_type") == kind)
 
 
-def every_nth(rows: DataFrame, n: int, key: Sequence[str], order: str) -> DataFrame:
-    """Rows whose number in the stream is a multiple of n."""
-    number = F.row_number().over(Window.partitionBy(*key).orderBy(order))
-    return rows.withColumn("__n", number).filter(F.col("__n") % n == 0).drop("__n")
+def every_nth(rows: DataFrame, n: int, key: Sequence[str], order: str, part: Column | None = None) -> DataFrame:
+    """Rows whose number in the stream is a multiple of n; part as in numbering.numbered, where a stream is too long for one task."""
+    return numbered(rows, key, [order], part, "__n").filter(F.col("__n") % n == 0).drop("__n")

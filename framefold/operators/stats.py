@@ -7,7 +7,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .numbering import numbered
+
 MEMORY_MB = 80.0
+#: Rows of a key that one task takes for a ring.
+RING_BLOCK = 16384
 
 
 def ratio(a: Column, b: Column) -> Column:
@@ -41,8 +45,23 @@ def latency(rows: DataFrame, value: str, keys: Sequence[str] = (), exact: bool =
     return found.select(*keys, "avg_latency_ms", *[F.col("p")[k].alias(f"p{n}_latency_ms") for k, n in enumerate((50, 95, 99))], "max_latency_ms", "min_latency_ms", "fps", "success_count")
 
 
-def last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 100) -> DataFrame:
-    """rows with the mean, sum and size of the last n values at each row."""
+def last_n(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int = 100, part: Column | None = None) -> DataFrame:
+    """rows with the mean, maximum and size of the last n values at each row.
+
+    With part (as in numbering.numbered) no task holds a whole key: the ring runs over blocks of
+    rows, to each of which the last n - 1 rows of the block before are copied.
+    """
+    if part is None:
+        return with_ring(rows, keys, order, value, n)
+    rows = numbered(rows, keys, order, part, "__n").withColumn("__n", F.col("__n") - 1)
+    size = max(RING_BLOCK, n)
+    own = F.expr(f"__n div {size}")
+    copied = F.when(F.col("__n") % size > size - n, F.array(own, own + 1)).otherwise(F.array(own))
+    blocks = with_ring(rows.withColumn("__block", F.explode(copied)), [*keys, "__block"], ["__n"], value, n)
+    return blocks.filter(F.col("__block") == own).drop("__n", "__block")
+
+
+def with_ring(rows: DataFrame, keys: Sequence[str], order: Sequence[str], value: str, n: int) -> DataFrame:
     ring = Window.partitionBy(*keys).orderBy(*order).rowsBetween(1 - n, 0)
     return rows.withColumns({"ring_mean": F.avg(value).over(ring), "ring_max": F.max(value).over(ring), "ring_size": F.count(value).over(ring)})
 

@@ -15,6 +15,8 @@ from ..operators import framing, scoring, segments, stats, validate
 START, END = 60.0, 35.0
 #: Sample size for each unit of an event's value.
 LOUDNESS = 65
+#: Ids that one task puts in order.
+RUN_OF_IDS = 16384
 KEY = ["stream_id"]
 
 
@@ -90,11 +92,11 @@ def processor_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def latency_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = stats.latency(table(spark, sf_dir, "events"), "value", ["event_type"], exact=True)
-    return found.select("event_type", "success_count", *[F.round(c, 6).alias(c) for c in ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms", "min_latency_ms", "fps")])
+    return found.select("event_type", "success_count", *[F.round(c, 6).alias(c) for c in ("avg_latency_ms", "p50_latency_ms", "p95_latency_ms", "p99_latency_ms", "max_latency_ms")])
 
 
 def last_n_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = stats.last_n(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], "value", 100)
+    rows = stats.last_n(table(spark, sf_dir, "events"), ["event_type"], ["ts", "event_id"], "value", 100, F.date_format("ts", "yyyyMMddHH"))
     return rows.select("event_id", F.round("ring_mean", 9).alias("ring_mean"), "ring_max", "ring_size")
 
 
@@ -120,7 +122,7 @@ def concurrency_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def every_nth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.every_nth(table(spark, sf_dir, "events"), 50, ["user_id"], "event_id").select("user_id", "event_id")
+    return segments.every_nth(table(spark, sf_dir, "events"), 50, ["event_type"], "event_id", F.expr(f"event_id div {RUN_OF_IDS}")).select("event_type", "event_id")
 
 
 def health_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -325,13 +327,13 @@ ORACLE = {
  done as (select stream_id, sum((event_type <> 'error')::int)::bigint ok, coalesce(sum(case when event_type <> 'error' then round(score, 0) end), 0.0e0)::double total, sum((event_type = 'error')::int)::bigint err from frames group by 1)
  select d.stream_id, ok total_chunks_processed, round(total, 6) total_processing_time_ms, round(coalesce(total / nullif(ok, 0), 0.0e0), 6) average_processing_time_ms, coalesce(seg, 0)::bigint speech_segments, coalesce(one, 0)::bigint single_frames,
  round(coalesce(coalesce(seg, 0) / nullif(coalesce(seg, 0) + coalesce(one, 0), 0)::double, 0.0e0), 6) speech_ratio, round(coalesce(ok / nullif(total / 1000, 0), 0.0e0), 6) throughput_chunks_per_second, 80.0e0 memory_usage_mb, err error_count, round(coalesce(err / nullif(ok, 0)::double, 0.0e0), 6) error_rate from done d left join made m on d.stream_id = m.stream_id""",
-    "latency_percentiles": "select event_type, count(value) success_count, round(avg(value), 6) avg_latency_ms, round(quantile_cont(value, 0.5), 6) p50_latency_ms, round(quantile_cont(value, 0.95), 6) p95_latency_ms, round(quantile_cont(value, 0.99), 6) p99_latency_ms, round(max(value), 6) max_latency_ms, round(min(value), 6) min_latency_ms, round(1000.0e0 / avg(value), 6) fps from events group by 1",
-    "last_n_ring": "select event_id, round(avg(value) over w, 9) ring_mean, max(value) over w ring_max, count(value) over w ring_size from events window w as (partition by user_id order by ts, event_id rows between 99 preceding and current row)",
+    "latency_percentiles": "select event_type, count(value) success_count, round(avg(value), 6) avg_latency_ms, round(quantile_cont(value, 0.5), 6) p50_latency_ms, round(quantile_cont(value, 0.95), 6) p95_latency_ms, round(quantile_cont(value, 0.99), 6) p99_latency_ms, round(max(value), 6) max_latency_ms from events group by 1",
+    "last_n_ring": "select event_id, round(avg(value) over w, 9) ring_mean, max(value) over w ring_max, count(value) over w ring_size from events window w as (partition by event_type order by ts, event_id rows between 99 preceding and current row)",
     "best_worst_key": "with per as (select event_type, round(avg(value), 9) cost, count(*) gain from events group by 1) select (select event_type from per order by cost, event_type limit 1) least_cost, (select event_type from per order by gain desc, event_type limit 1) largest_gain",
     "spread_and_grade": "select *, case when n / 10.0e0 > 100 and mean_ms < 50 then 'excellent' when n / 10.0e0 > 50 and mean_ms < 100 then 'good' when n / 10.0e0 > 20 and mean_ms < 200 then 'fair' else 'poor' end grade from (select event_type, round(max(value) - min(value), 6) spread, max(value) - min(value) < 1000 is_even, count(*) n, round(avg(value), 6) mean_ms from events group by 1)",
     "isolation_check": "select event_type, count(distinct event_id) = count(event_id) distinct_events, count(distinct user_id) streams from events group by 1",
     "concurrency_rollup": ROLES + ", per as (select stream_id, sum((role = 'frame')::int)::bigint frames from roles group by 1) select stream_id % 7 group_id, sum(frames)::bigint total_frames, sum((frames > 0)::int)::bigint active_streams, round(sum((frames > 0)::int) / count(*)::double, 6) success_rate, round(avg(frames), 6) mean_frames from per group by 1",
-    "every_nth": "select user_id, event_id from (select *, row_number() over (partition by user_id order by event_id) k from events) where k % 50 = 0",
+    "every_nth": "select event_type, event_id from (select *, row_number() over (partition by event_type order by event_id) k from events) where k % 50 = 0",
     "health_flag": "with per as (select user_id, count(value) + user_id % 3 total_operations, round(count(value) / (count(value) + user_id % 3)::double, 6) success_rate, quantile_cont(value, 0.99) p99 from events group by 1) select user_id, total_operations, success_rate, (1 - success_rate <= 0.05e0 and total_operations / 60.0e0 >= 1 and p99 <= 200) is_healthy from per",
     "frame_align_bytes": BYTES + ", f as (select stream_id, x, unnest(range(n // 1024)) i from b) select stream_id, i + 1 frame_id, (i + 1) * 32.0e0 timestamp_ms, md5(hex(array_slice(x, i * 1024 + 1, i * 1024 + 1024))) digest from f",
     "frame_gauges": BYTES + " select stream_id, n // 2 available_samples, n // 1024 available_frames, n % 1024 rest_bytes, n / 8000.0e0 usage_ratio from b",

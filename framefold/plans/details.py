@@ -155,6 +155,12 @@ def first_results(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.filter(F.col("segment_id") <= 10).select("stream_id", "segment_id", "end_timestamp_ms")
 
 
+def latency_bounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least and mean latency and the rate that the mean gives, of sketched rows."""
+    found = stats.latency(table(spark, sf_dir, "events"), "value", ["user_id"])
+    return found.select("user_id", "success_count", *[F.round(c, 6).alias(c) for c in ("min_latency_ms", "avg_latency_ms", "fps")])
+
+
 def silent_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chunks of zero bytes, framed."""
     rows = framing.aligned(files.silence(spark, 40, 700)).withColumn("level", codecs.pcm16_rms(F.col("audio_data")))
@@ -204,6 +210,7 @@ ORACLE = {
     "option_maps": "select event_id, case when event_id % 2 = 0 then 'a=right;b=' || event_type else 'a=left;b=' || event_type || ';c=right' end options from events",
     "required_samples": "select event_id, (case when event_id % 2 = 0 then 512 else 256 end)::int model_samples, (floor(value)::bigint * case when event_id % 2 = 0 then 16000 else 8000 end // 1000)::int frame_samples from events",
     "first_results": ROLES + " select stream_id, segment_id, last_frame * 32.0e0 end_timestamp_ms from closed where segment_id <= 10",
+    "latency_bounds": "select user_id, count(value) success_count, round(min(value), 6) min_latency_ms, round(avg(value), 6) avg_latency_ms, round(1000.0e0 / avg(value), 6) fps from events group by 1",
     "silent_chunks": "select 'silence' stream_id, range + 1 frame_id, 1024::bigint n_bytes, 0.0e0 as level from range(27)",
 }
 
@@ -211,7 +218,7 @@ ORACLE = {
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         wav_round_trip, chunk_playback, sample_frames, session_messages, stream_results, segment_messages, segments_only, segment_bytes, sample_kinds, alaw_arrays, narrowed, model_scores, marker_probabilities, renderings, error_rows,
-        buffer_checks, option_maps, required_samples, first_results, silent_chunks,
+        buffer_checks, option_maps, required_samples, first_results, latency_bounds, silent_chunks,
     )}
 
 
