@@ -228,6 +228,7 @@ def runs(units: DataFrame) -> DataFrame:
     """row, word, n, to_row, to_doc, shift of units in unbroken succession that match units of one row at the same distance."""
     shared = units.groupBy("key", "name").agg(F.min(place()).alias("kept"), F.min("row").alias("a"), F.max("row").alias("b")).filter("a != b").select("key", "name", "kept")
     shared = materialise(shared, "shared")
+    let_go(units.sparkSession)
     at = F.struct("word", F.col("kept.row").alias("to_row"), F.col("kept.doc_id").alias("to_doc"), (F.col("kept.word") - F.col("word")).alias("shift"))
     met = units.join(shared, ["key", "name"]).filter(F.col("row") != F.col("kept.row")).select("row", at.alias("at"))
 
@@ -412,6 +413,7 @@ def apart(members: DataFrame, roots: DataFrame, name: str) -> DataFrame:
 def clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
     """node, root of the paragraphs that are linked to others; sets (name, grams) of all members."""
     links = [materialise(verified(star(members), sets), "links")]
+    let_go(sets.sparkSession)
     roots = connected_components(links[0])
     mixed = apart(members, roots, "mixed")
     again = materialise(mixed.select("name").distinct(), "again")
@@ -419,7 +421,9 @@ def clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
     if not again.isEmpty():
         fine = materialise(finer(sets.join(again, "name", "left_semi")), "fine")
         close = met_in(fine.select("name", F.explode("bands").alias("band")), "close")
+        let_go(sets.sparkSession)
         links.append(materialise(verified(star(close), sets), "links"))
+        let_go(sets.sparkSession)
         roots = connected_components(links[0].union(links[1]))
         rest = apart(close, roots, "rest")
         close_by = materialise(rest.join(fine.select("name", "sketch", "size"), "name").join(sets, "name"), "rest")
@@ -432,31 +436,35 @@ def clusters(members: DataFrame, sets: DataFrame) -> DataFrame:
         old += [fine, close, rest, close_by]
     roots = materialise(roots, "roots")
     discard(*links, *old)
+    let_go(sets.sparkSession)
     return roots
 
 
 def repeats(docs: DataFrame) -> DataFrame:
     """row, spans (word, n, kept_doc_id, kept_word): the stretches of words to be cut from each row that has any. docs has __row."""
     found = materialise(pieces(docs), "pieces")
-    units, lines = found.filter("bands is null"), found.filter("bands is not null")
-    run_rows = runs(units.select("row", "doc_id", "word", "name", "key"))
+    run_rows = runs(found.filter("bands is null").select("row", "doc_id", "word", "name", "key"))
+    # Units are most of the pieces, and only runs() reads them.
+    lines = materialise(found.filter("bands is not null").select("row", "doc_id", "word", "n", "name", "key", "bands"), "lines")
+    discard(found)
     let_go(docs.sparkSession)
-    lines = lines.select("row", "doc_id", "word", "n", "name", "key", "bands")
     members = met_in(lines.select("name", F.explode("bands").alias("band")), "members")
     unique = lines.groupBy("name").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row", "word", "n")).alias("first"), F.min("key").alias("a"), F.max("key").alias("b")).filter("a = b")
     unique = materialise(unique.select("name", "first"), "names")
+    let_go(docs.sparkSession)
     wanted = members.select("name").distinct().join(unique, "name").select(F.col("first.row").alias("row"), F.col("first.word").alias("word"), F.col("first.n").alias("n"), "name")
     got = materialise(fetched(docs, requests(run_rows, wanted)), "fetched")
     discard(run_rows)
     let_go(docs.sparkSession)
     spans = grown(got)
+    let_go(docs.sparkSession)
     roots = clusters(members, got.filter(F.col("kind") == SHINGLES).select(F.col("a").alias("name"), F.col("values").alias("grams")))
     grouped = materialise(unique.join(roots.withColumnRenamed("node", "name"), "name", "left").withColumn("root", F.coalesce("root", "name")), "grouped")
     kept = grouped.join(grouped.groupBy("root").agg(F.min("first").alias("kept")), "root").select("name", "kept")
     cut = lines.select("row", "word", "n", "name").join(kept, "name").filter((F.col("row") != F.col("kept.row")) | (F.col("word") != F.col("kept.word")))
     cut = cut.select("row", "word", "n", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.word").alias("kept_word"))
     out = materialise(spans.union(cut).groupBy("row").agg(F.array_sort(F.collect_set(F.struct("word", "n", "kept_doc_id", "kept_word"))).cast(SPANS).alias("spans")), "cuts")
-    discard(found, members, unique, got, roots, grouped)
+    discard(lines, members, unique, got, roots, grouped)
     let_go(docs.sparkSession)
     return out
 

@@ -16,7 +16,7 @@ from fixtures import WORD, documents, empty, lower, prose, texts
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from framefold.llm import chat, decontaminate, language_model, licenses, packing, quality_classifier, quality_rules, sharding, simhash, substring_dedup
+from framefold.llm import chat, decontaminate, language_model, licenses, packing, quality_classifier, quality_rules, sharding, simhash, storage, substring_dedup
 
 TOKENIZER = pytest.importorskip("public_tokenizers").path("word_bpe_49k.json")
 
@@ -490,6 +490,23 @@ def test_passages_wherever_they_stand(spark):
     assert all(got[i]["n_cut"] for i in (2, 3, 5, 9, 10, None)) and not got[7]["n_cut"]
 
 
+def test_substring_dedup_discards_units_before_it_fetches(spark, monkeypatch):
+    made, there, fetched = [], [], substring_dedup.fetched
+
+    def spied(docs, wants):
+        there.extend(t.framefold_path for t in made if storage.exists(spark, t.framefold_path))
+        return fetched(docs, wants)
+
+    monkeypatch.setattr(substring_dedup, "fetched", spied)
+    text = " ".join(f"w{k}" for k in range(80))
+    with storage.recorded(made):
+        got = rows_of(substring_dedup.dedup_report(spark.createDataFrame([(1, text), (2, "other " + text), (3, "short")], "doc_id long, text string")))
+    assert {r["doc_id"]: r["n_cut"] > 0 for r in got} == {1: False, 2: True, 3: False}
+    assert there and not any("-pieces-" in x for x in there)
+    left = [t.framefold_path for t in made if storage.exists(spark, t.framefold_path)]
+    assert not any(f"-{name}-" in x for name in ("pieces", "lines", "members") for x in left)
+
+
 def test_whole_licenses(spark):
     folder = Path(licenses.__file__).parent / "license_texts"
     items = ["* " + x for x in (licenses.SOURCE, licenses.BINARY)]
